@@ -30,7 +30,7 @@ from .common import map_slices, table
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 #: Pieces remembered by a worker.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 #: A boundary this close to the end of a chunk may still move with the text that follows.
 _LOOK_AHEAD = 8
 # \s of the encoder's regular expressions is the White_Space property.
@@ -72,11 +72,11 @@ class Codec:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def chunk(self, start: int, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
-        """Boundaries within the whole text after each piece, ids up to each boundary, the ids."""
+        """Boundaries within the whole text after each piece, bytes of ids up to each boundary, the ids."""
         pieces = self.split(text)
         ids = [self.pieces[p] for p in pieces]
-        ends = start + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        return ends, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))), b"".join(ids)
+        ends = start + np.cumsum(np.fromiter(map(len, pieces), np.int32, len(pieces)), dtype=np.int32)
+        return ends, np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)), dtype=np.int32), b"".join(ids)
 
 
 def stitch(codec: Codec, chunks: list[tuple[int, str]], encoded=None) -> bytes:
@@ -171,7 +171,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         c = codec(ranks_path)
         t = t.sort_by("start")
         pieces = list(zip(t["start"].to_pylist(), t["text"].to_pylist()))
-        encoded = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), ids) for a, b, ids in zip(t["ends"].to_pylist(), t["upto"].to_pylist(), t["ids"].to_pylist())]
+        encoded = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32), ids) for a, b, ids in zip(t["ends"].to_pylist(), t["upto"].to_pylist(), t["ids"].to_pylist())]
         ids = stitch(c, pieces, encoded)
         return pa.table({"id": t["id"].slice(0, 1).combine_chunks(), "ids": pa.array([ids], pa.binary()), "n_tokens": pa.array([len(ids) // 4], pa.int64())})
 
