@@ -167,7 +167,7 @@ def _chunks(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([c.tobytes() for c in total.reshape(_CHUNKS, -1)], pa.binary())], ["chunk", "counts"])
 
 
-def _blocks(lines: Lines, counts: np.ndarray, parts: int, t: float) -> Iterator[tuple[int, int, bytes]]:
+def _blocks(lines: Lines, counts: np.ndarray, parts: int, t: float, hot_word: int) -> Iterator[tuple[int, int, bytes]]:
     """(part, kind, packed rows): kind -2 lines that go, -1 classes, else a class of length."""
     s1, s2 = lines.signatures()
     order = np.lexsort((lines.place["line"], lines.place["doc"], s2, s1))
@@ -203,7 +203,7 @@ def _blocks(lines: Lines, counts: np.ndarray, parts: int, t: float) -> Iterator[
             e[f] = lines.place[f][of]
         e["bits"] = lines.parities(some, bits)[row[of]]
         # Words of many lines: blocks of lines; a line goes to the cells of its block with each.
-        blocks = -(-counts[(e["word"] & np.uint64(COUNTERS - 1)).astype(np.int64)] // HOT_WORD)
+        blocks = -(-counts[(e["word"] & np.uint64(COUNTERS - 1)).astype(np.int64)] // hot_word)
         hot = blocks > 1
         out = [(e[~hot], e["word"][~hot])]
         for k in np.flatnonzero(hot).tolist():
@@ -291,11 +291,11 @@ def _found(y: np.ndarray, x: np.ndarray | None = None, apart=None, more=None) ->
 
 def find(rows: DataFrame, counts, t: float, keep: int) -> DataFrame:
     """Lines that equal an earlier one (x null), and candidates x for the leaders of the others."""
-    parts = 2 * parts_for(rows.sparkSession)
+    parts, hot_word = 2 * parts_for(rows.sparkSession), HOT_WORD
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
-            out = list(_blocks(Lines(ids, texts, counts.value), counts.value, parts, t))
+            out = list(_blocks(Lines(ids, texts, counts.value), counts.value, parts, t, hot_word))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["part", "kind", "block"])
 

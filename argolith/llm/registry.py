@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, exact_dedup, langid, line_dedup, packing, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_toxicity": toxicity.query,
     "op10_simhash": simhash.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
