@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,41 +38,75 @@ END_ID = 1
 WAITING_TOKENS = 1_000_000
 #: Sequences of a step group, and of the tokens each group should hold.
 STEP_SEQUENCES = 8
+#: Words that a worker remembers.
 CACHE_WORDS = 1_000_000
+WORDS_AT_ONCE = 1_000
 
 
 class WordTokenizer:
     """Same ids as the tokenizer file, remembering those of each word between white space.
 
-    White space ends every token, so words are encoded apart from each other. That is done for texts
-    in Latin script, which composition leaves alone; any other text goes to the library whole.
+    White space ends every token, so words are encoded apart from each other, and each distinct word
+    of a slice once. That is done for texts in Latin script, which composition leaves alone; any other
+    text goes to the library whole.
     """
 
-    # Beyond Latin letters and common punctuation, or treated differently by Python.
+    # Beyond Latin letters and common punctuation, or treated differently by the functions used here.
     _beyond = re.compile(r"[^\x00-\u024f\u2010-\u2027\u20ac]")
     _odd = re.compile(r"[\x1c-\x1f\x85\u0130]")
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, which are encoded as one text and told apart by their places in it."""
+        found = {}
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4")
+            begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
+            word_begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            cuts = np.searchsorted(begins, word_begins)
+            found |= {w: ids[a:b].tobytes() for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist())}
+        return found
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self._beyond.search(text) or self._odd.search(text):
-            return self._ids([text])[0]
-        words = text.lower().split()
-        known = self.words
+        return self.encode_all(pa.array([text]))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        plain = texts.to_pylist()
+        odd = [i for i, x in enumerate(plain) if self._beyond.search(x) or self._odd.search(x)]
+        if odd:
+            easy = [x for x in plain]
+            for i in odd:
+                easy[i] = ""
+            texts = pa.array(easy, pa.string())
+        words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        distinct = words.flatten().dictionary_encode()
+        here, known = distinct.dictionary.to_pylist(), self.words
+        new = self._learn([w for w in here if w not in known])
+        known.update(new)
+        ids = [known[w] for w in here]
         if len(known) > CACHE_WORDS:
-            known.clear()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            known.update(zip(new, self._ids(new)))
-            return b"".join(map(known.__getitem__, words))
+            self.words = {"": b""}
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        start = np.cumsum(size) - size
+        code = distinct.indices.to_numpy(zero_copy_only=False)
+        per_word = size[code]
+        upto = np.concatenate(([0], np.cumsum(per_word)))
+        at = np.repeat(start[code] - upto[:-1], per_word) + np.arange(upto[-1])
+        flat = np.frombuffer(b"".join(ids), "<u4")[at]
+        ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        out = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        for i in odd:
+            out[i] = self._whole(plain[i])
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -208,8 +243,8 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, e
 
         for part in sliced(batches):
             id_type = part.schema.field(0).type
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                packer.add(doc, t.encode(text) + end)
+            for doc, ids in zip(part.column(0).to_pylist(), t.encode_all(part.column(1))):
+                packer.add(doc, ids + end)
             if packer.held > WAITING_TOKENS:
                 packer.pack()
             if len(packer.done) > 4096:
