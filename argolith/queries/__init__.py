@@ -1,6 +1,6 @@
 """Queries over the test tables, one for each operator, and their SQL."""
 
-from __future__ import annotations
+from argolith.queries.spark import QUERIES
+from argolith.queries.sql import SQL
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
