@@ -14,6 +14,8 @@ from argolith.config import Profile
 from argolith.functions.text import term_counts
 from argolith.functions.vectors import dot, norm, sparse_cosine
 
+
+
 def _target():
     return W.partitionBy("thread_id", "target_idx")
 

@@ -39,11 +39,20 @@ class Run:
             self._relations = self.keep(self.provider.label(self.pacs))
         return self._relations
 
+    @property
+    def canonical(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, edges, components) before repair."""
+        if not hasattr(self, "_canonical"):
+            e = self.keep(graph.canonical_edges(self.relations))
+            n = self.keep(graph.nodes(self.index, e))
+            self._canonical = n, e, self.keep(graph.components(n, e))
+        return self._canonical
+
     @property
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of both modes."""
         if not hasattr(self, "_graph"):
-            self._graph = tuple(map(self.keep, graph.assemble(self.index, self.relations, self.profile)))
+            self._graph = tuple(map(self.keep, graph.assemble(self.index, self.relations, self.profile, keep=self.keep)))
         return self._graph
 
     @property

@@ -345,31 +345,25 @@ def canonical_edges(spark, sf_dir):
     return _long(graph.canonical_edges(made(spark, sf_dir).relations).select("thread_id", "source_idx", "target_idx", "relation"), "source_idx", "target_idx")
 
 
-def _nodes(r: Run) -> tuple[DataFrame, DataFrame]:
-    e = graph.canonical_edges(r.relations)
-    return graph.nodes(r.index, e), e
-
-
 @query
 def bas_nodes(spark, sf_dir):
-    return _long(_nodes(made(spark, sf_dir))[0].select("thread_id", "global_idx", "id", "speaker_id", "is_central_prop"), "global_idx")
+    return _long(made(spark, sf_dir).canonical[0].select("thread_id", "global_idx", "id", "speaker_id", "is_central_prop"), "global_idx")
 
 
 @query
 def degrees(spark, sf_dir):
-    n, e = _nodes(made(spark, sf_dir))
+    n, e, _ = made(spark, sf_dir).canonical
     return _long(graph.degrees(n, e).select("thread_id", "global_idx", "in_degree", "out_degree"), "global_idx")
 
 
 @query
 def root_node(spark, sf_dir):
-    return _long(graph.roots(_nodes(made(spark, sf_dir))[0]), "root_idx")
+    return _long(graph.roots(made(spark, sf_dir).canonical[0]), "root_idx")
 
 
 @query
 def components(spark, sf_dir):
-    n, e = _nodes(made(spark, sf_dir))
-    return _long(graph.components(n, e), "global_idx", "component", "rank")
+    return _long(made(spark, sf_dir).canonical[2], "global_idx", "component", "rank")
 
 
 @query
@@ -380,14 +374,14 @@ def repair_edges(spark, sf_dir):
 
 @query
 def central_subgraph(spark, sf_dir):
-    n, e = _nodes(made(spark, sf_dir))
-    return _long(graph.root_component(n, graph.components(n, e)).select("thread_id", "global_idx"), "global_idx")
+    n, _, comps = made(spark, sf_dir).canonical
+    return _long(graph.root_component(n, comps).select("thread_id", "global_idx"), "global_idx")
 
 
 @query
 def min_units_filter(spark, sf_dir):
-    n, e = _nodes(made(spark, sf_dir))
-    return graph.large_enough(graph.root_component(n, graph.components(n, e)), PROFILE)
+    n, _, comps = made(spark, sf_dir).canonical
+    return graph.large_enough(graph.root_component(n, comps), PROFILE)
 
 
 @query
