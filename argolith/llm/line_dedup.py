@@ -43,7 +43,9 @@ from .common import deal, materialise, parts_for, table
 SIMILARITY = 0.8
 COUNTERS = 1 << 20
 #: Characters of a slice of documents.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
+#: Bytes of words that are hashed all at once.
+LONG_WORD = 64
 #: Candidates that a line keeps at a word.
 KEEP = 4
 #: Lines that share a word and are compared in one task.
@@ -53,12 +55,14 @@ FILTER_BITS = 1 << 24
 #: Largest number of words and number of parity bits, by class of length.
 CLASSES = ((64, 64), (160, 128), (352, 256), (768, 512), (1 << 31, 1024))
 _CHUNKS = 16
-_LINE = [("doc", "<i8"), ("crc", "<u4"), ("line", "<u4")]
+_LINE = [("doc", "<i8"), ("crc", "<u2"), ("line", "<u4")]
 _SIGNED = np.dtype([("s1", "<u8"), ("s2", "<u8"), *_LINE])
 
 
 def _entry(bits: int) -> np.dtype:
-    return np.dtype([("word", "<u8"), ("sig", "<u8"), *_LINE, ("n", "<u4"), ("pos", "<u4"), ("bits", "<u8", (bits // 64,))])
+    """A word of a line's prefix. Hashes are short: equal ones of different words only add candidates, and classes also differ in bits."""
+    size = "<u2" if bits < CLASSES[-1][1] else "<u4"
+    return np.dtype([("word", "<u4"), ("sig", "<u4"), *_LINE, ("n", size), ("pos", size), ("bits", "<u8", (bits // 64,))])
 
 
 def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -76,8 +80,25 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
 def hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the distinct words, index of each word into them)."""
     d = words.dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(map(digest, d.dictionary.to_pylist()), np.uint64, len(d.dictionary)), d.indices.to_numpy(zero_copy_only=False)
+    return hash_of(d.dictionary), d.indices.to_numpy(zero_copy_only=False)
+
+
+def hash_of(words: pa.Array) -> np.ndarray:
+    """FNV-1a of each word, mixed; byte by byte over all words at once, but for long ones."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    start = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset :][: len(words)].astype(np.int64)
+    order = np.argsort(-size, kind="stable")
+    start, length = start[order], size[order]
+    h = np.full(len(words), 0xCBF29CE484222325, np.uint64)
+    for k in range(min(int(length.max(initial=0)), LONG_WORD)):
+        n = int(np.searchsorted(-length, -k, "left"))
+        h[:n] = (h[:n] ^ data[start[:n] + k]) * np.uint64(0x100000001B3)
+    for i in range(int(np.searchsorted(-length, -LONG_WORD, "left"))):
+        h[i] = xxhash.xxh64_intdigest(words[int(order[i])].as_py())
+    out = np.empty(len(words), np.uint64)
+    out[order] = _mixed(_mixed(h, 0xFF51AFD7ED558CCD), 0xC4CEB9FE1A85EC53)
+    return out
 
 
 def _mixed(h: np.ndarray, by: int) -> np.ndarray:
@@ -97,7 +118,7 @@ class Lines:
         words = pc.ascii_split_whitespace(flat)
         known, code = hashed(words.flatten())
         per_line = np.diff(words.offsets.to_numpy())
-        empty = np.uint64(xxhash.xxh64_intdigest(""))
+        empty = hash_of(pa.array([""]))[0]
         rank = (np.minimum(counts[(known & np.uint64(COUNTERS - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (known >> np.uint64(20))
         line = np.repeat(np.arange(len(per_line)), per_line)
         word = code[known[code] != empty]
@@ -115,7 +136,7 @@ class Lines:
         self.pos = np.arange(len(line)) - np.repeat(start, self.n)
         self.place = np.zeros(len(at), _LINE)
         self.place["doc"], self.place["line"] = ids[doc[at]], number[at]
-        self.place["crc"] = np.array([zlib.crc32((x or "").encode()) for x in texts.to_pylist()], np.uint32)[doc[at]]
+        self.place["crc"] = np.array([zlib.crc32((x or "").encode()) & 0xFFFF for x in texts.to_pylist()], np.uint16)[doc[at]]
 
     def __len__(self) -> int:
         return len(self.n)
@@ -198,21 +219,23 @@ def _blocks(lines: Lines, counts: np.ndarray, parts: int, t: float, hot_word: in
         at = np.flatnonzero((row[lines.of] >= 0) & (lines.pos < prefix(lines.n, t)[lines.of]))
         e = np.zeros(len(at), _entry(bits))
         of = lines.of[at]
-        e["word"], e["sig"], e["n"], e["pos"] = lines.hash[at], s1[of], lines.n[of], lines.pos[at]
+        word, sig = lines.hash[at], s1[of]
+        e["sig"], e["n"], e["pos"] = sig >> np.uint64(32), lines.n[of], lines.pos[at]
         for f in ("doc", "crc", "line"):
             e[f] = lines.place[f][of]
         e["bits"] = lines.parities(some, bits)[row[of]]
         # Words of many lines: blocks of lines; a line goes to the cells of its block with each.
-        blocks = -(-counts[(e["word"] & np.uint64(COUNTERS - 1)).astype(np.int64)] // hot_word)
+        blocks = -(-counts[(word & np.uint64(COUNTERS - 1)).astype(np.int64)] // hot_word)
         hot = blocks > 1
-        out = [(e[~hot], e["word"][~hot])]
+        rows, to = [np.flatnonzero(~hot)], [word[~hot]]
         for k in np.flatnonzero(hot).tolist():
-            g, own = int(blocks[k]), int(e["sig"][k]) % int(blocks[k])
+            g = int(blocks[k])
+            own = int(sig[k]) % g
             cells = np.array([min(o, own) * g + max(o, own) + 1 for o in range(g)], np.uint64)
-            one = np.repeat(e[k : k + 1], g)
-            one["word"] = _mixed(one["word"] + cells * np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93)
-            out.append((one, one["word"]))
-        e, to = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+            rows.append(np.full(g, k))
+            to.append(_mixed(word[k] + cells * np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93))
+        e, to = e[np.concatenate(rows)], np.concatenate(to)
+        e["word"] = to >> np.uint64(32)
         for p, block in deal(e, (to % np.uint64(parts)).astype(np.int64), parts):
             yield p, kind, block
 
@@ -229,10 +252,11 @@ def _leaders(signed: np.ndarray) -> np.ndarray:
 
 def candidates(e: np.ndarray, shortest: int, t: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, distance, more): for each line, its closest earlier candidates among lines with a common word."""
-    order = np.lexsort((e["line"], e["doc"], e["sig"], e["word"]))
-    e = e[order]
+    flat = np.ascontiguousarray(e["bits"]).reshape(len(e), -1)
+    order = np.lexsort((e["line"], e["doc"], *flat.T, e["n"], e["sig"], e["word"]))
+    e, flat = e[order], flat[order]
     first = np.ones(len(e), bool)
-    first[1:] = (e["word"][1:] != e["word"][:-1]) | (e["sig"][1:] != e["sig"][:-1])
+    first[1:] = (e["word"][1:] != e["word"][:-1]) | (e["sig"][1:] != e["sig"][:-1]) | (e["n"][1:] != e["n"][:-1]) | (flat[1:] != flat[:-1]).any(1)
     e = e[first]  # the leader of each class
     e = e[np.lexsort((e["n"], e["word"]))]
     word, n, pos, bits = e["word"], e["n"].astype(np.int64), e["pos"].astype(np.int64), np.ascontiguousarray(e["bits"])
@@ -392,12 +416,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, detail: bool = False) -> DataFrame:
     """docs with the later ones of matching lines removed from the text; with detail, also __lines: the numbers of the lines that went."""
-    gone = removed_lines(docs, id_col, text_col, similarity).groupBy("doc", "crc").agg(F.sort_array(F.collect_set("line")).alias("__lines"))
-    keyed = docs.withColumn("__crc", F.crc32(F.col(text_col).cast("binary")))
-    joined = keyed.join(gone, (keyed[id_col] == gone["doc"]) & (keyed["__crc"] == gone["crc"]), "left")
+    gone = materialise(removed_lines(docs, id_col, text_col, similarity).groupBy("doc", "crc").agg(F.sort_array(F.collect_set("line")).alias("__lines")))
+    keyed = docs.withColumn("__crc", F.crc32(F.col(text_col).cast("binary")) % 65536)
+
+    def cell(*key):
+        return F.crc32(F.concat_ws(":", *[F.col(k).cast("string") for k in key]).cast("binary")) % FILTER_BITS + 1
+
+    # Documents that surely lose no line pass by the shuffle; the filter has FILTER_BITS / 8 bytes.
+    number, bit = (lambda c, f=f: F.call_function(f, c) for f in ("bitmap_bucket_number", "bitmap_bit_position"))
+    bits = gone.select(cell("doc", "crc").alias("c")).groupBy(number(F.col("c")).alias("__bucket")).agg(F.call_function("bitmap_construct_agg", bit(F.col("c"))).alias("__bits"))
+    keyed = keyed.withColumn("__cell", cell(id_col, "__crc")).withColumn("__bucket", number(F.col("__cell"))).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__cell) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    maybe = F.coalesce(F.call_function("getbit", byte, (bit(F.col("__cell")) % 8).cast("int")) == 1, F.lit(False))
+    keyed = keyed.withColumn("__maybe", maybe).drop("__bucket", "__bits", "__cell")
+    lines = F.lit(None).cast("array<bigint>").alias("__lines")
+    names = [*docs.columns, *(["__lines"] if detail else [])]
+    as_is = keyed.filter(~F.col("__maybe")).select(*docs.columns, lines).select(*names)
+    some = keyed.filter("__maybe")
+    joined = some.join(gone, (some[id_col] == gone["doc"]) & (some["__crc"] == gone["crc"]), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i.cast("long")))
     text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns, *(["__lines"] if detail else []))
+    return as_is.unionByName(joined.withColumn(text_col, text).select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
