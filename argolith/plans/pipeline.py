@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from argolith.config import ENGLISH, Profile
 from argolith.operators import candidates, graph, predict, segment, semantics, strengths
 from argolith.providers import Cue, RelationProvider
-from argolith.session import ship
+from argolith.session import materialise, ship
 
 
 @dataclass
@@ -20,58 +21,65 @@ class Run:
     threads: DataFrame
     profile: Profile = ENGLISH
     provider: RelationProvider = Cue()
-    #: Applied to what a provider returns and to graphs, so that neither is computed twice: a cache, a table, nothing.
-    keep: object = staticmethod(lambda df: df)
+    #: Applied to what several stages read and to what a provider returns: makes a table of it, or nothing.
+    keep: object = staticmethod(materialise)
 
     def __post_init__(self) -> None:
         ship(self.posts.sparkSession)
-        p = self.profile
-        self.turns = segment.clean(self.posts, p)
-        self.edus = self.keep(segment.edus(self.turns, p))
-        self.central = segment.central_proposition(self.turns, self.edus, self.threads)
-        self.index = self.keep(candidates.lexical(segment.index(self.edus, self.central)))
-        self.pairs = self.keep(candidates.candidates(self.index))
-        self.pacs = self.keep(candidates.select(self.pairs, p))
 
-    @property
+    @cached_property
+    def turns(self) -> DataFrame:
+        return segment.clean(self.posts, self.profile)
+
+    @cached_property
+    def edus(self) -> DataFrame:
+        return self.keep(segment.edus(self.turns, self.profile))
+
+    @cached_property
+    def central(self) -> DataFrame:
+        return segment.central_proposition(self.turns, self.edus, self.threads)
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return self.keep(candidates.lexical(segment.index(self.edus, self.central)))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return self.keep(candidates.candidates(self.index))
+
+    @cached_property
+    def pacs(self) -> DataFrame:
+        return candidates.select(self.pairs, self.profile)
+
+    @cached_property
     def relations(self) -> DataFrame:
-        if not hasattr(self, "_relations"):
-            self._relations = self.keep(self.provider.label(self.pacs))
-        return self._relations
+        return self.keep(self.provider.label(self.pacs))
 
-    @property
+    @cached_property
     def canonical(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(nodes, edges, components) before repair."""
-        if not hasattr(self, "_canonical"):
-            e = self.keep(graph.canonical_edges(self.relations))
-            n = self.keep(graph.nodes(self.index, e))
-            self._canonical = n, e, self.keep(graph.components(n, e))
-        return self._canonical
+        e = self.keep(graph.canonical_edges(self.relations))
+        n = self.keep(graph.nodes(self.index, e))
+        return n, e, self.keep(graph.components(n, e))
 
-    @property
+    @cached_property
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of both modes."""
-        if not hasattr(self, "_graph"):
-            self._graph = tuple(map(self.keep, graph.assemble(self.index, self.relations, self.profile, keep=self.keep)))
-        return self._graph
+        return tuple(map(self.keep, graph.assemble(self.index, self.relations, self.profile, keep=self.keep)))
 
-    @property
+    @cached_property
     def nodes_with_vectors(self) -> DataFrame:
         return candidates.lexical(self.graph[0])
 
-    @property
+    @cached_property
     def strengths(self) -> DataFrame:
-        if not hasattr(self, "_strengths"):
-            self._strengths = self.keep(strengths.initialise(self.nodes_with_vectors, self.graph[1], self.profile))
-        return self._strengths
+        return self.keep(strengths.initialise(self.nodes_with_vectors, self.graph[1], self.profile))
 
-    @property
+    @cached_property
     def settled(self) -> DataFrame:
         """Strengths after propagation, over edges after the root's reversal."""
-        if not hasattr(self, "_settled"):
-            edges = semantics.weights(strengths.reverse_root(*self.graph), self.profile)
-            self._settled = self.keep(semantics.propagate(self.strengths, edges, self.profile))
-        return self._settled
+        edges = semantics.weights(strengths.reverse_root(*self.graph), self.profile)
+        return self.keep(semantics.propagate(self.strengths, edges, self.profile))
 
     @property
     def shifts(self) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ def query(f: Callable) -> Callable:
 
 def made(spark: SparkSession, sf_dir: str) -> Run:
     posts = conversations.posts(spark, sf_dir)
-    return Run(posts, conversations.threads(posts), PROFILE, Cue(CUES, 0.25), lambda df: df.persist(StorageLevel.MEMORY_AND_DISK))
+    return Run(posts, conversations.threads(posts), PROFILE, Cue(CUES, 0.25))
 
 
 def _long(df: DataFrame, *names: str) -> DataFrame:

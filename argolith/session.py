@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -22,3 +23,14 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))
         sc._argolith_shipped = True
     return spark
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir (a temporary one where that is unset): what follows has a short plan and survives lost executors."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="argolith-"))
+    path = f"{sc.getCheckpointDir()}/argolith-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
