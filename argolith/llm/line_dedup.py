@@ -14,7 +14,7 @@ matches a line that comes earlier in the order of (doc_id, line number).
 3. A line needs one earlier match only, so each keeps its few closest candidates and
    whether there were more. They are verified on the words themselves, closest first;
    should all that were kept fail for a line that had more, the second step runs again
-   and keeps more.
+   and keeps all candidates of such lines.
 
 Data of the second step move in packed blocks, one for each slice of documents and
 part, so that shuffling costs no work for each row. A word that very many lines share
@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -250,7 +251,7 @@ def _leaders(signed: np.ndarray) -> np.ndarray:
     return s[(s["doc"] != lead["doc"]) | (s["line"] != lead["line"])]
 
 
-def candidates(e: np.ndarray, shortest: int, t: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(e: np.ndarray, shortest: int, t: float, keep: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, distance, more): for each line, its closest earlier candidates among lines with a common word."""
     flat = np.ascontiguousarray(e["bits"]).reshape(len(e), -1)
     order = np.lexsort((e["line"], e["doc"], *flat.T, e["n"], e["sig"], e["word"]))
@@ -291,9 +292,13 @@ def candidates(e: np.ndarray, shortest: int, t: float, keep: int) -> tuple[np.nd
     a_first = (place["doc"][a] < place["doc"][b]) | (place["doc"][a] == place["doc"][b]) & (place["line"][a] < place["line"][b])
     differ = (place["doc"][a] != place["doc"][b]) | (place["line"][a] != place["line"][b])
     x, y, apart = np.where(a_first, a, b)[differ], np.where(a_first, b, a)[differ], apart[differ]
+    if only is not None:
+        open_ = _held(place, only)[y]
+        x, y, apart = x[open_], y[open_], apart[open_]
     order = np.lexsort((place["line"][x], place["doc"][x], apart, y))
     x, y, apart = x[order], y[order], apart[order]
-    new = np.concatenate(([True], y[1:] != y[:-1]))
+    new = np.ones(len(y), bool)
+    new[1:] = y[1:] != y[:-1]
     starts = np.flatnonzero(new)
     size = np.diff(np.concatenate((starts, [len(y)])))
     k = np.arange(len(y)) - np.repeat(starts, size)
@@ -313,8 +318,8 @@ def _found(y: np.ndarray, x: np.ndarray | None = None, apart=None, more=None) ->
     return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _FOUND.split(", ")])
 
 
-def find(rows: DataFrame, counts, t: float, keep: int) -> DataFrame:
-    """Lines that equal an earlier one (x null), and candidates x for the leaders of the others."""
+def find(rows: DataFrame, counts, t: float, keep: int, only=None) -> DataFrame:
+    """Lines that equal an earlier one (x null), and candidates x for the leaders of the others; for later lines that the filter `only` holds, if given."""
     parts, hot_word = 2 * parts_for(rows.sparkSession), HOT_WORD
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +342,7 @@ def find(rows: DataFrame, counts, t: float, keep: int) -> DataFrame:
                 yield _found(_leaders(np.frombuffer(block, _SIGNED)))
             else:
                 lo = CLASSES[kind - 1][0] if kind else 0
-                yield _found(*candidates(np.frombuffer(block, _entry(CLASSES[kind][1])), lo + 1, t, keep))
+                yield _found(*candidates(np.frombuffer(block, _entry(CLASSES[kind][1])), lo + 1, t, keep, None if only is None else only.value))
 
     return rows.mapInArrow(emit, "part int, kind int, block binary").repartition(parts, "part").mapInArrow(compare, _FOUND)
 
@@ -345,25 +350,34 @@ def find(rows: DataFrame, counts, t: float, keep: int) -> DataFrame:
 _KEY = ("doc", "crc", "line")
 
 
-def _bodies(rows: DataFrame, needed: DataFrame, counts) -> DataFrame:
-    """(doc, crc, line, words binary) of the needed lines and, as their filter is a hashed one, some others."""
-    spark = rows.sparkSession
+def _filter(keys: DataFrame):
+    """A broadcast hashed filter of the lines in keys: FILTER_BITS / 8 bytes."""
     cell = F.pmod(F.crc32(F.concat_ws(":", *_KEY).cast("binary")), F.lit(FILTER_BITS))
     # Spark numbers the bits of a bitmap from 1.
-    bits = needed.select((cell + 1).alias("cell")).groupBy(F.call_function("bitmap_bucket_number", F.col("cell")).alias("bucket"))
+    bits = keys.select((cell + 1).alias("cell")).groupBy(F.call_function("bitmap_bucket_number", F.col("cell")).alias("bucket"))
     bits = bits.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("cell"))).alias("bits"))
     wanted = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.collect():  # FILTER_BITS / 8 bytes in all
+    for r in bits.collect():
         at = (r["bucket"] - 1) * 4096
         wanted[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)[: len(wanted) - at]
-    shared = spark.sparkContext.broadcast(wanted)
+    return keys.sparkSession.sparkContext.broadcast(wanted)
+
+
+def _held(place: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the places such a filter holds."""
+    keys = [f"{d}:{c}:{n}".encode() for d, c, n in zip(*(place[f].tolist() for f in _KEY))]
+    at = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % FILTER_BITS
+    return (wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _bodies(rows: DataFrame, needed: DataFrame, counts) -> DataFrame:
+    """(doc, crc, line, words binary) of the needed lines and, as their filter is a hashed one, some others."""
+    shared = _filter(needed)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
             lines = Lines(ids, texts, counts.value)
-            keys = [f"{d}:{c}:{n}".encode() for d, c, n in lines.place.tolist()]
-            at = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % FILTER_BITS
-            some = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            some = np.flatnonzero(_held(lines.place, shared.value))
             place = lines.place[some]
             words = [np.sort(lines.hash[a : a + n]).tobytes() for a, n in zip(lines.start[some].tolist(), lines.n[some].tolist())]
             yield pa.RecordBatch.from_arrays([*(pa.array(place[f].astype(np.int64)) for f in _KEY), pa.array(words, pa.binary())], [*_KEY, "words"])
@@ -392,23 +406,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc, crc, line, x_doc, x_line): the lines that go; x is an earlier line that matches, null where an equal one exists. crc: CRC-32 of the line's text's document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     counts = docs.sparkSession.sparkContext.broadcast(count_words(rows))
-    keep, gone = KEEP, None
+    names = [*_KEY, *(f"x_{k}" for k in _KEY)]
+    keep, only, equal, found_near = KEEP, None, None, []
     while True:
-        found = materialise(find(rows, counts, similarity, keep))
-        equal = found.filter("x_doc is null").select(*_KEY)
+        found = materialise(find(rows, counts, similarity, keep, only))
+        # Equal lines are the same in every round. Leaders of classes are compared, so none of them stands on the later side of a pair.
+        equal = found.filter("x_doc is null").select(*_KEY) if equal is None else equal
         pairs = found.filter("x_doc is not null")
-        # Leaders of classes are compared, so no line of `equal` stands on the later side of a pair.
-        names = [*_KEY, *(f"x_{k}" for k in _KEY)]
         best = pairs.groupBy(*_KEY).agg(F.min(F.struct("apart", *(f"x_{k}" for k in _KEY))).alias("b")).select(*_KEY, *(F.col(f"b.x_{k}").alias(f"x_{k}") for k in _KEY))
-        needed = pairs.select(*_KEY).union(pairs.select(*(f"x_{k}" for k in _KEY))).distinct()
+        needed = pairs.select(*_KEY).union(pairs.select(*(F.col(f"x_{k}") for k in _KEY))).distinct()
         bodies = materialise(_bodies(rows, needed, counts))
         near = materialise(_verified(best, bodies, similarity))
-        open_ = pairs.join(near.select(*_KEY), list(_KEY), "left_anti")
+        open_ = pairs.join(near.select(*_KEY).distinct(), list(_KEY), "left_anti")
         more = materialise(_verified(open_.select(*names).distinct(), bodies, similarity))
-        gone = near.unionByName(more).groupBy(*_KEY).agg(F.min(F.struct("x_doc", "x_line")).alias("x"))
-        if open_.join(more.select(*_KEY), list(_KEY), "left_anti").filter("more").isEmpty():
+        found_near += [near, more]
+        left = materialise(open_.filter("more").select(*_KEY).distinct().join(more.select(*_KEY).distinct(), list(_KEY), "left_anti"))
+        if left.isEmpty():
             break
-        keep *= 32
+        # All candidates of those that have not found a match among their closest.
+        keep, only = 1 << 40, _filter(left)
+    gone = reduce(DataFrame.unionByName, found_near).groupBy(*_KEY).agg(F.min(F.struct("x_doc", "x_line")).alias("x"))
     out = gone.select(*_KEY, F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"))
     none = F.lit(None).cast("long")
     return out.unionByName(equal.select(*_KEY, none.alias("x_doc"), none.alias("x_line")))
