@@ -1,0 +1,20 @@
+"""Queries of the engine look at all rows, not at the first of them."""
+
+import numpy as np
+
+from argolith.queries import QUERIES
+from argolith.queries.spark import made
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_dense_topk_looks_at_all_vectors(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    assert rows[-1].vec_id >= 300
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sims, want = v @ v.T, set()
+    for i, a in enumerate(rows):
+        others = [j for j, b in enumerate(rows) if b.label == a.label and j != i and sims[i, j] >= 0.15]
+        want |= {(a.vec_id, rows[j].vec_id) for j in sorted(others, key=lambda j: (-sims[i, j], j))[:3]}
+    assert {(r.target_idx, r.source_idx) for r in QUERIES["dense_cosine_topk"](spark, SF).collect()} == want
