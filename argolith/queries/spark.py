@@ -261,8 +261,8 @@ def prompt_text(spark, sf_dir):
 
 
 def _votes(spark, sf_dir, calls: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Expected pairs of the first targets, and labels of several calls that differ now and then."""
-    p = made(spark, sf_dir).pacs.filter("target_idx < 20")
+    """Expected pairs, and labels of several calls that differ now and then."""
+    p = made(spark, sf_dir).pacs
     expected = p.select(F.concat_ws("_", "thread_id", F.floor(F.col("target_idx") / 10).cast("string")).alias("batch_id"), "target_idx", F.col("pac_pos").alias("source_idx"))
     v = expected.withColumn("call_no", F.explode(F.sequence(F.lit(1), F.lit(calls))))
     h = F.col("target_idx") * 7 + F.col("source_idx") * 3 + F.when((F.col("target_idx") + F.col("source_idx")) % 5 == 0, F.col("call_no")).otherwise(0)
