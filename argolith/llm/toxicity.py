@@ -5,8 +5,8 @@ document's is the noisy-or of its sentences'. The model is trained from the labe
 documents alone, and so learns which sentences offend.
 
 Words are chosen by how far their document frequencies in toxic and other documents
-lie apart, counted over the training documents; the weights are found by gradient
-steps over bags of the chosen words. Training takes at most SAMPLE documents of each
+lie apart, counted over all training documents; the weights are found by gradient
+steps over bags of the chosen words. These steps take at most SAMPLE documents of each
 label, those whose ids hash lowest, weighted by how many of that label there are.
 
 Null text counts as empty and has no sentence; its score is the model's for such a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, map_slices, table
 
-#: Training documents of each label at most.
+#: Documents of each label at most in the gradient steps.
 SAMPLE = 4_000
 #: Words of the model at most, and documents that must hold one.
 WORDS, LEAST_DOCS = 4_000, 5
@@ -87,16 +87,25 @@ def _softplus(z: float) -> float:
     return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of the training documents: those with crc32 of the id mod 5 other than 0; how many labels there are of each kind."""
+def _picked(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labels for training: those with crc32 of the id mod 5 other than 0."""
     picked = labels.filter("toxic is not null and doc_id is not null").filter(crc32_of_id() % 5 != 0)
-    picked = picked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    return picked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+
+
+def _labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.select("doc_id", "y"), "doc_id")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of the documents of the gradient steps; how many labels for training there are of each kind."""
+    picked = _picked(labels).withColumn("h", F.xxhash64("doc_id"))
     ids = None
     for y in (0, 1):  # a bounded number each, by a sort that keeps no more than that in a task
         few = picked.filter(F.col("y") == y).orderBy("h", "doc_id").limit(sample)
         ids = few if ids is None else ids.unionByName(few)
     n = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.select("doc_id", "y")), "doc_id"), n
+    return _labelled(docs, F.broadcast(ids)), n
 
 
 def _words_of(rows: DataFrame) -> DataFrame:
@@ -121,7 +130,7 @@ def _words_of(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows, n = training_rows(docs, labels, sample)
-    words = _words_of(rows).cache()
+    words = _words_of(_labelled(docs, _picked(labels))).cache()
     total = words.filter("word = ''").first()
     if total is None or not 0 < total["pos"] < total["n"]:
         words.unpersist()

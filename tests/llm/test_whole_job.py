@@ -5,6 +5,8 @@ import random
 
 import corpus_pipeline
 
+from argolith.llm import quality, toxicity
+
 
 def shingle_set(text):
     w = (text or "").lower().split()
@@ -35,3 +37,11 @@ def test_near_dedup_stage_takes_shingles_alike(spark):
     want = {min(i for j, i in enumerate(ids) if label[j] == label[k] and i is not None) for k in range(len(rows))} | {None}
     got = [x.doc_id for x in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_toxicity_counts_words_over_all_training_rows(spark):
+    # Of 400 toxic documents 20 hold a rare word; of the 40 that the gradient steps take, hardly one.
+    rows = [(i, f"Plain words here. Some {'vile ' if i % 4 == 0 else ''}{'grim ' if i % 80 == 0 else ''}text {i % 7}.") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    assert {"vile", "grim"} <= set(toxicity.train(docs, labels, sample=40).weights)
