@@ -32,6 +32,8 @@ THRESHOLD = 0.5
 ABSTAIN = 2
 #: Shares of words are taken of so many at least, so that single words weigh little.
 FEW_WORDS = 40
+#: Longer words count as several, of so many characters each: text without spaces is seen whole.
+PIECE = 32
 
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()!?-]")
 _RUN = re.compile(r"[^\w\s]{2,}")
@@ -144,7 +146,7 @@ _known: dict[str, int] = {}
 def _shape(word: str) -> str:
     """A word's look: kinds of characters with repetition left out, and the punctuation that it has."""
     out = []
-    for c in word[:32]:
+    for c in word:
         k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -152,9 +154,10 @@ def _shape(word: str) -> str:
 
 
 def features(text: str) -> np.ndarray:
-    """Hashed shapes of words, their lengths and whether a word repeats the one before it: shares of all words, as roots."""
+    """Hashed shapes of words, their lengths and whether a word repeats the one before it: shares of all words, as roots. Long words count in pieces."""
     words = text.split()
-    seen: Counter = Counter(words)
+    pieces = [w[at : at + PIECE] for w in words for at in range(0, len(w), PIECE)]
+    seen: Counter = Counter(pieces)
     out = np.zeros(DIM, np.float32)
     if len(_known) > 200_000:
         _known.clear()
@@ -162,9 +165,9 @@ def features(text: str) -> np.ndarray:
         if (h := _known.get(w)) is None:
             h = _known[w] = _hash("s" + _shape(w))
         out[h] += n
-        out[min(len(w), 40)] += n
+        out[len(w)] += n
     out[41] += sum(a == b for a, b in zip(words, words[1:]))
-    return np.sqrt(out / max(len(words), FEW_WORDS))
+    return np.sqrt(out / max(len(pieces), FEW_WORDS))
 
 
 @dataclass(frozen=True)

@@ -45,3 +45,9 @@ def test_toxicity_counts_words_over_all_training_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
     assert {"vile", "grim"} <= set(toxicity.train(docs, labels, sample=40).weights)
+
+
+def test_quality_sees_text_without_spaces_whole():
+    clean = "天地玄黄宇宙洪荒" * 40
+    junk = clean[:40] + "#@$%~^&*" * 35
+    assert len(clean) == len(junk) and (quality.features(clean) != quality.features(junk)).any()
