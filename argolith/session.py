@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,12 +26,37 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a temporary one where that is unset): what follows has a short plan and survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, if all runs on this machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="argolith-"))
-    path = f"{sc.getCheckpointDir()}/argolith-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="argolith-"))
+    return sc.getCheckpointDir()
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what follows has a short plan and survives lost executors. The table goes when the driver ends, if it is not discarded before."""
+    spark = df.sparkSession
+    name = f"{shared_folder(spark)}/argolith-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path, fs = _path(spark, name)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    out._argolith_table = name
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `materialise` that nothing reads any more."""
+    for df in tables:
+        if name := getattr(df, "_argolith_table", None):
+            path, fs = _path(df.sparkSession, name)
+            fs.delete(path, True)
