@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argolith.session import ship
+from argolith.session import discard, materialise, ship  # noqa: F401
 
 #: Rows that Python code of this package handles at once; bounds a worker's memory.
 SLICE_ROWS = 512
@@ -21,22 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="argolith-"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/argolith-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
@@ -58,12 +40,16 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-def deal(rows: np.ndarray, to: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """Splits a structured array by the part each row goes to: one packed block for each part that gets rows."""
-    order = np.argsort(to, kind="stable")
-    ends = np.cumsum(np.bincount(to, minlength=parts))
-    rows = rows[order]
-    return [(p, rows[a:b].tobytes()) for p, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)) if b > a]
+def aside(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns like the given ones that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def parts_for(spark: SparkSession) -> int:

@@ -4,66 +4,106 @@ A line is the set of its words (split at ASCII white space). Lines match when th
 Jaccard similarity of their sets is SIMILARITY or more; a line is removed when it
 matches a line that comes earlier in the order of (doc_id, line number).
 
-1. Words are counted over all documents, in COUNTERS hashed counters. Any order of
-   words that all lines agree on keeps the join exact; this one is by rarity.
-2. Lines with equal sets form a class led by its earliest line; the others go. A line
-   emits the prefix of its words in that order: two sets of the needed similarity
-   share a word in their prefixes. Lines that meet at a word pass the length and the
-   positional filter and a comparison of parity bits of their words, whose number of
-   differences is at most the sets' difference. All of these keep every match.
-3. A line needs one earlier match only, so each keeps its few closest candidates and
-   whether there were more. They are verified on the words themselves, closest first;
-   should all that were kept fail for a line that had more, the second step runs again
-   and keeps all candidates of such lines.
-
-Data of the second step move in packed blocks, one for each slice of documents and
-part, so that shuffling costs no work for each row. A word that very many lines share
-is dealt over several tasks, each of which compares two blocks of its lines.
+1. Words are counted over all documents, in COUNTERS hashed counters, of which the
+   logarithm is kept: the order by rarity. Any order of words that all lines agree on
+   keeps the join exact.
+2. Lines with equal sets (128 bits of signature) form a class led by its earliest
+   line; the others go. A line emits the prefix of its words in that order: two sets
+   of the needed similarity share a word in their prefixes. A word of more than
+   HOT_WORD occurrences is emitted together with each other word of a prefix that is
+   longer by one: matching sets share two words of those. Lines that meet pass the
+   length and the positional filter and a comparison of parity bits of their words,
+   whose number of differences is at most the sets' difference. All of these keep
+   every match.
+3. A line needs one earlier match only, so where lines meet each reports the closest
+   of the first ENOUGH candidates it finds, and whether it saw more than one. The
+   closest are verified on the lines' texts, then what else was reported. For lines
+   that find no match so, though there were more candidates, the lines that they meet
+   are compared on whole sets of words (64-bit hashes), all of them.
+
+Data of these steps move in packed blocks, so that shuffling costs no work for each
+row; the number of parts follows from the number of words. Copies of a class are
+merged in each slice, and again in a part whenever COMPACT bytes have come together,
+so a line that a third of all documents share is a few rows. Words and pairs of words
+that still have more than HOT_WORD lines are dealt over the pairs of blocks of lines.
 
 Null text counts as empty and stays null. Lines without words never match and stay.
-Rows whose id is null take no part and stay as they are. Rows that repeat an id: lines
-of equal id and number do not remove each other. All columns are kept.
+Rows whose id is null take no part and stay as they are. Rows that repeat an id are
+told apart by a 64-bit hash of their text; lines of equal id and number do not remove
+each other. Ids that are not integers are ordered by their 64-bit hash. All columns
+are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import deal, materialise, parts_for, table
+from argolith.session import ship
+
+from .common import aside, materialise, parts_for, table
 
 SIMILARITY = 0.8
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 #: Characters of a slice of documents.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 #: Bytes of words that are hashed all at once.
 LONG_WORD = 64
-#: Candidates that a line keeps at a word.
-KEEP = 4
 #: Lines that share a word and are compared in one task.
-HOT_WORD = 200_000
-#: Bits of the filter for lines whose words are read again.
-FILTER_BITS = 1 << 24
+HOT_WORD = 50_000
+#: Candidates among which a line looks for its closest at a word.
+ENOUGH = 16
+#: Bytes of a part that are expected, and after which copies in it are merged.
+PART, COMPACT = 16_000_000, 64_000_000
+#: Bits of the filters for lines and words that are looked for again.
+FILTER_BITS = 1 << 25
 #: Largest number of words and number of parity bits, by class of length.
 CLASSES = ((64, 64), (160, 128), (352, 256), (768, 512), (1 << 31, 1024))
+#: Lines of so many words at most have their hot words paired.
+PAIRED = 352
 _CHUNKS = 16
-_LINE = [("doc", "<i8"), ("crc", "<u2"), ("line", "<u4")]
-_SIGNED = np.dtype([("s1", "<u8"), ("s2", "<u8"), *_LINE])
+#: Steps of the logarithm of a count.
+_STEPS = 5
+_LINE = np.dtype([("doc", "<i8"), ("crc", "<u8"), ("line", "<u4")])
+_SIGNED = np.dtype([("s1", "<u8"), ("s2", "<u8"), *_LINE.descr])
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _entry(bits: int) -> np.dtype:
-    """A word of a line's prefix. Hashes are short: equal ones of different words only add candidates, and classes also differ in bits."""
+    """A key of a line's prefix. The part it is in goes with the word; sig: half of the signature of the class."""
     size = "<u2" if bits < CLASSES[-1][1] else "<u4"
-    return np.dtype([("word", "<u4"), ("sig", "<u4"), *_LINE, ("n", size), ("pos", size), ("bits", "<u8", (bits // 64,))])
+    return np.dtype([("word", "<u4"), ("sig", "<u8"), *_LINE.descr, ("n", size), ("pos", size), ("bits", "<u8", (bits // 64,))])
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Column after column, which compresses better than row after row."""
+    return b"".join(rows[f].tobytes() for f in rows.dtype.names)
+
+
+def unpacked(block: bytes, kind: np.dtype) -> np.ndarray:
+    out, at = np.zeros(len(block) // kind.itemsize, kind), 0
+    for f in kind.names:
+        size = kind[f].itemsize * len(out)
+        out[f] = np.frombuffer(block, kind[f].base, offset=at, count=size // kind[f].base.itemsize).reshape(out[f].shape)
+        at += size
+    return out
+
+
+def deal(rows: np.ndarray, to: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed rows) for each part that gets rows."""
+    order = np.argsort(to, kind="stable")
+    rows, ends = rows[order], np.cumsum(np.bincount(to, minlength=parts))
+    for p, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())):
+        if b > a:
+            yield p, packed(rows[a:b])
 
 
 def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -78,12 +118,6 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
             at = end
 
 
-def hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of the distinct words, index of each word into them)."""
-    d = words.dictionary_encode()
-    return hash_of(d.dictionary), d.indices.to_numpy(zero_copy_only=False)
-
-
 def hash_of(words: pa.Array) -> np.ndarray:
     """FNV-1a of each word, mixed; byte by byte over all words at once, but for long ones."""
     size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -107,37 +141,51 @@ def _mixed(h: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def level(count) -> np.ndarray:
+    """0 for words that occur once, else a logarithm of the count."""
+    count = np.asarray(count, np.float64)
+    return np.where(count > 1, 1 + np.floor(_STEPS * np.log2(np.maximum(count, 1)) + 1e-9), 0).astype(np.uint8)
+
+
+def _at_most(levels: np.ndarray) -> np.ndarray:
+    """The largest count of a level."""
+    return np.ceil(2.0 ** (levels.astype(np.float64) / _STEPS)).astype(np.int64)
+
+
 class Lines:
     """The lines of a slice that have words, each as its distinct words in the order of rarity."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array, counts: np.ndarray) -> None:
-        lines = pc.split_pattern(texts, "\n")
-        flat = lines.flatten()
-        per_doc = np.diff(lines.offsets.to_numpy())
-        doc = np.repeat(np.arange(len(per_doc)), per_doc)
-        number = np.arange(len(flat)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    def __init__(self, ids: np.ndarray, texts: pa.Array, levels: np.ndarray) -> None:
+        doc, number, flat = _split(texts)
         words = pc.ascii_split_whitespace(flat)
-        known, code = hashed(words.flatten())
+        d = words.flatten().dictionary_encode()
+        known, code = hash_of(d.dictionary), d.indices.to_numpy(zero_copy_only=False)
+        blank = pc.equal(d.dictionary, "").to_numpy(zero_copy_only=False)
+        rarity = levels[_counter(known)]
+        order = np.lexsort((known, rarity))
+        dense = np.empty(len(order), np.int64)
+        dense[order] = np.arange(len(order))
         per_line = np.diff(words.offsets.to_numpy())
-        empty = hash_of(pa.array([""]))[0]
-        rank = (np.minimum(counts[(known & np.uint64(COUNTERS - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (known >> np.uint64(20))
-        line = np.repeat(np.arange(len(per_line)), per_line)
-        word = code[known[code] != empty]
-        line = line[known[code] != empty]
-        order = np.lexsort((rank[word], line))
-        word, line = word[order], line[order]
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-        word, line = word[new], line[new]
-        self.hash = known[word]
-        at, start = np.unique(line, return_index=True)
-        self.start = start
-        self.n = np.diff(np.concatenate((start, [len(line)])))
-        self.of = np.repeat(np.arange(len(at)), self.n)
-        self.pos = np.arange(len(line)) - np.repeat(start, self.n)
-        self.place = np.zeros(len(at), _LINE)
-        self.place["doc"], self.place["line"] = ids[doc[at]], number[at]
-        self.place["crc"] = np.array([zlib.crc32((x or "").encode()) & 0xFFFF for x in texts.to_pylist()], np.uint16)[doc[at]]
+        key = (np.repeat(np.arange(len(per_line), dtype=np.int64), per_line) << 32) | dense[code]
+        key = key[~blank[code]]
+        key.sort()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        line, word = key >> 32, order[key & 0xFFFFFFFF]
+        self.hash, self.level = known[word], rarity[word]
+        new = np.ones(len(line), bool)
+        new[1:] = line[1:] != line[:-1]
+        self.start = np.flatnonzero(new)
+        self.n = np.diff(np.concatenate((self.start, [len(line)])))
+        self.of = np.repeat(np.arange(len(self.n)), self.n)
+        self.pos = np.arange(len(line)) - np.repeat(self.start, self.n)
+        at = line[self.start]
+        self.place = _places(ids, texts, doc[at], number[at])
 
     def __len__(self) -> int:
         return len(self.n)
@@ -153,311 +201,483 @@ class Lines:
         row[some] = np.arange(len(some))
         at = row[self.of]
         h, at = self.hash[at >= 0], at[at >= 0]
-        flips = np.bincount(at * bits + (h >> np.uint64(7)).astype(np.int64) % bits, minlength=len(some) * bits)
+        bit = (h >> np.uint64(7)).astype(np.int64) % bits
+        if bits == 64:
+            return np.bitwise_xor.reduceat(np.uint64(1) << bit.astype(np.uint64), np.flatnonzero(np.diff(at, prepend=-1))).reshape(-1, 1)
+        flips = np.bincount(at * bits + bit, minlength=len(some) * bits)
         return np.packbits((flips & 1).astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view("<u8")
 
+    def keys(self, some: np.ndarray, sig: np.ndarray, kind: int, t: float, hot_word: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key, position) of all keys under which some lines (a mask) meet others in a class of length."""
+        short = prefix(self.n, t)
+        hot_level = int(level(hot_word)) + 1
+        mine = np.flatnonzero(some[self.of] & (self.pos < short[self.of]) & (self.level > 0))
+        hot = self.level[mine] >= hot_level
+        salt = np.uint64(kind + 1) * _GOLD
+        line, key, pos, size = ([x] for x in (self.of[mine[~hot]], _mixed(self.hash[mine[~hot]] + salt, 0xD6E8FEB86659FD93), self.pos[mine[~hot]], np.zeros(int((~hot).sum()), np.int64)))
+        i = mine[hot]
+        if len(i) and CLASSES[kind][0] <= PAIRED:
+            # Each other word of the prefix that is longer by one; a pair of two such words once.
+            long = np.minimum(short + 1, self.n)[self.of[i]]
+            i = np.repeat(i, long)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(long) - long, long) + self.start[self.of[i]]
+            twice = (self.level[j] >= hot_level) & (self.pos[j] < short[self.of[j]]) & (j < i)
+            ok = (j != i) & (self.level[j] > 0) & ~twice
+            i, j = i[ok], j[ok]
+            line.append(self.of[i])
+            key.append(_mixed(_mixed(self.hash[i] + self.hash[j] + salt, 0xFF51AFD7ED558CCD), 0xD6E8FEB86659FD93))
+            pos.append(np.minimum(self.pos[i], self.pos[j]))
+            size.append(np.minimum(_at_most(self.level[i]), _at_most(self.level[j])))
+        elif len(i):
+            line.append(self.of[i])
+            key.append(_mixed(self.hash[i] + salt, 0xD6E8FEB86659FD93))
+            pos.append(self.pos[i])
+            size.append(_at_most(self.level[i]))
+        line, key, pos, size = map(np.concatenate, (line, key, pos, size))
+        blocks = -(-size // hot_word)
+        if not (blocks > 1).any():
+            return line, key, pos
+        # Still hot: a line goes to the cells of its block with each block.
+        blocks = np.maximum(blocks, 1)
+        at = np.repeat(np.arange(len(line)), blocks)
+        g = blocks[at].astype(np.uint64)
+        other = (np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.uint64)
+        own = _mixed(sig[line[at]], 0xC4CEB9FE1A85EC53) % g
+        cell = np.minimum(own, other) * g + np.maximum(own, other)
+        return line[at], np.where(g > 1, _mixed(key[at] + (cell + np.uint64(1)) * _GOLD, 0xFF51AFD7ED558CCD), key[at]), pos[at]
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(document, number in it, text) of each line."""
+    lines = pc.split_pattern(texts, "\n")
+    per_doc = np.diff(lines.offsets.to_numpy())
+    number = np.arange(int(per_doc.sum())) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    return np.repeat(np.arange(len(per_doc)), per_doc), number, lines.flatten()
+
+
+def _places(ids: np.ndarray, texts: pa.Array, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    place = np.zeros(len(doc), _LINE)
+    place["doc"], place["line"] = ids[doc], number
+    place["crc"] = np.array([xxhash.xxh64_intdigest(x, 42) for x in texts.cast(pa.binary()).to_pylist()], np.uint64)[doc]
+    return place
+
+
+def _cell(place: np.ndarray) -> np.ndarray:
+    """The bit of a filter that a line falls on."""
+    return (_mixed(_mixed(place["doc"].view(np.uint64) * _GOLD + place["line"], 0xFF51AFD7ED558CCD) ^ place["crc"], 0xC4CEB9FE1A85EC53) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _word_cell(word: np.ndarray, part) -> np.ndarray:
+    return (_mixed((word.astype(np.uint64) << np.uint64(32)) + np.asarray(part, np.uint64), 0xFF51AFD7ED558CCD) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _in(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
 
 def prefix(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-def count_words(rows: DataFrame) -> np.ndarray:
-    """How many words fall to each of the hashed counters, over all texts."""
+def count_words(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The levels of the hashed counters, and the number of words, over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for _, texts in slices(batches):
-            known, code = hashed(pc.ascii_split_whitespace(pc.drop_null(texts)).flatten())
-            np.add.at(total, (known & np.uint64(COUNTERS - 1)).astype(np.int64), np.bincount(code, minlength=len(known)))
-        yield _chunks(total)
+            d = pc.ascii_split_whitespace(texts).flatten().dictionary_encode()
+            np.add.at(total, _counter(hash_of(d.dictionary)), np.bincount(d.indices.to_numpy(zero_copy_only=False), minlength=len(d.dictionary)))
+        size = COUNTERS // _CHUNKS
+        for k in range(_CHUNKS):
+            at = np.flatnonzero(total[k * size : (k + 1) * size])
+            if len(at):
+                yield _record(["chunk", "at", "n"], [pa.array([k], pa.int32()), pa.array([at.astype("<u4").tobytes()]), pa.array([total[k * size + at].astype("<i8").tobytes()])])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(c, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
+            for k, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                total.setdefault(k, np.zeros(COUNTERS // _CHUNKS, np.int64))[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")
+        yield _record(["chunk", "levels", "n"], [pa.array(list(total), pa.int32()), pa.array([level(c).tobytes() for c in total.values()], pa.binary()), pa.array([int(c.sum()) for c in total.values()], pa.int64())])
 
-    parts = rows.mapInArrow(count, "chunk int, counts binary").repartition(_CHUNKS, "chunk")
-    out = np.zeros(COUNTERS, np.int64).reshape(_CHUNKS, -1)
-    for r in parts.mapInArrow(add, "chunk int, counts binary").collect():  # COUNTERS numbers in all
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return out.reshape(-1)
+    levels, n = np.zeros(COUNTERS, np.uint8).reshape(_CHUNKS, -1), 0
+    for r in rows.mapInArrow(count, "chunk int, at binary, n binary").repartition(_CHUNKS, "chunk").mapInArrow(add, "chunk int, levels binary, n long").collect():  # a byte for each counter
+        levels[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
+        n += r["n"]
+    return levels.reshape(-1), n
 
 
-def _chunks(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([c.tobytes() for c in total.reshape(_CHUNKS, -1)], pa.binary())], ["chunk", "counts"])
+def _record(names: list[str], cols: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(cols, names)
 
 
-def _blocks(lines: Lines, counts: np.ndarray, parts: int, t: float, hot_word: int) -> Iterator[tuple[int, int, bytes]]:
+def _classes(n: np.ndarray, t: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(class of length, mask of the lines in it): a pair is compared in the class of its longer line."""
+    lo = 0
+    for kind, (hi, _) in enumerate(CLASSES):
+        some = (n <= hi) & (n >= math.ceil(t * (lo + 1) - 1e-9)) & (np.floor(n / t + 1e-9) > n)
+        if some.any():
+            yield kind, some
+        lo = hi
+
+
+def _blocks(lines: Lines, parts: int, t: float, hot_word: int) -> Iterator[tuple[int, int, bytes]]:
     """(part, kind, packed rows): kind -2 lines that go, -1 classes, else a class of length."""
     s1, s2 = lines.signatures()
-    order = np.lexsort((lines.place["line"], lines.place["doc"], s2, s1))
-    s1_, s2_, place = s1[order], s2[order], lines.place[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (s1_[1:] != s1_[:-1]) | (s2_[1:] != s2_[:-1])
-    lead = place[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    later = (place["doc"] != lead["doc"]) | (place["line"] != lead["line"])
-    if later.any():
-        yield int(place["line"][0]) % parts, -2, place[later].tobytes()
-    signed = np.zeros(int((~later).sum()), _SIGNED)
-    signed["s1"], signed["s2"] = s1_[~later], s2_[~later]
-    for f in ("doc", "crc", "line"):
-        signed[f] = place[f][~later]
-    for p, block in deal(signed, (signed["s1"] % np.uint64(parts)).astype(np.int64), parts):
+    signed = np.zeros(len(lines), _SIGNED)
+    signed["s1"], signed["s2"] = s1, s2
+    for f in _LINE.names:
+        signed[f] = lines.place[f]
+    lead, gone = _first_of(signed, "s1", "s2")
+    if len(gone):
+        yield int(gone[0]) % parts, -2, packed(lines.place[gone])
+    for p, block in deal(signed[lead], (s1[lead] % np.uint64(parts)).astype(np.int64), parts):
         yield p, -1, block
-    mine = np.zeros(len(order), bool)
-    mine[order[first]] = True
-    lo = 0
-    for kind, (hi, bits) in enumerate(CLASSES):
-        # A pair is compared in the class of its longer line.
-        some = np.flatnonzero(mine & (lines.n <= hi) & (lines.n >= math.ceil(t * (lo + 1) - 1e-9)) & (np.floor(lines.n / t + 1e-9) > lines.n))
-        lo = hi
-        if not len(some):
+    mine = np.zeros(len(lines), bool)
+    mine[lead] = True
+    for kind, some in _classes(lines.n, t):
+        of, key, pos = lines.keys(some & mine, s1, kind, t, hot_word)
+        if not len(of):
             continue
-        row = np.full(len(lines), -1)
+        some, bits = np.unique(of), CLASSES[kind][1]
+        row = np.zeros(len(lines), np.int64)
         row[some] = np.arange(len(some))
-        at = np.flatnonzero((row[lines.of] >= 0) & (lines.pos < prefix(lines.n, t)[lines.of]))
-        e = np.zeros(len(at), _entry(bits))
-        of = lines.of[at]
-        word, sig = lines.hash[at], s1[of]
-        e["sig"], e["n"], e["pos"] = sig >> np.uint64(32), lines.n[of], lines.pos[at]
-        for f in ("doc", "crc", "line"):
+        e = np.zeros(len(of), _entry(bits))
+        e["word"], e["sig"], e["n"], e["pos"], e["bits"] = key >> np.uint64(32), s1[of], lines.n[of], pos, lines.parities(some, bits)[row[of]]
+        for f in _LINE.names:
             e[f] = lines.place[f][of]
-        e["bits"] = lines.parities(some, bits)[row[of]]
-        # Words of many lines: blocks of lines; a line goes to the cells of its block with each.
-        blocks = -(-counts[(word & np.uint64(COUNTERS - 1)).astype(np.int64)] // hot_word)
-        hot = blocks > 1
-        rows, to = [np.flatnonzero(~hot)], [word[~hot]]
-        for k in np.flatnonzero(hot).tolist():
-            g = int(blocks[k])
-            own = int(sig[k]) % g
-            cells = np.array([min(o, own) * g + max(o, own) + 1 for o in range(g)], np.uint64)
-            rows.append(np.full(g, k))
-            to.append(_mixed(word[k] + cells * np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93))
-        e, to = e[np.concatenate(rows)], np.concatenate(to)
-        e["word"] = to >> np.uint64(32)
-        for p, block in deal(e, (to % np.uint64(parts)).astype(np.int64), parts):
+        for p, block in deal(e, (key % np.uint64(parts)).astype(np.int64), parts):
             yield p, kind, block
 
 
-def _leaders(signed: np.ndarray) -> np.ndarray:
-    """Places of lines that are not the first of their class."""
-    order = np.lexsort((signed["line"], signed["doc"], signed["s2"], signed["s1"]))
-    s = signed[order]
-    first = np.ones(len(s), bool)
-    first[1:] = (s["s1"][1:] != s["s1"][:-1]) | (s["s2"][1:] != s["s2"][:-1])
-    lead = s[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
-    return s[(s["doc"] != lead["doc"]) | (s["line"] != lead["line"])]
-
-
-def candidates(e: np.ndarray, shortest: int, t: float, keep: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, distance, more): for each line, its closest earlier candidates among lines with a common word."""
-    flat = np.ascontiguousarray(e["bits"]).reshape(len(e), -1)
-    order = np.lexsort((e["line"], e["doc"], *flat.T, e["n"], e["sig"], e["word"]))
-    e, flat = e[order], flat[order]
-    first = np.ones(len(e), bool)
-    first[1:] = (e["word"][1:] != e["word"][:-1]) | (e["sig"][1:] != e["sig"][:-1]) | (e["n"][1:] != e["n"][:-1]) | (flat[1:] != flat[:-1]).any(1)
-    e = e[first]  # the leader of each class
-    e = e[np.lexsort((e["n"], e["word"]))]
-    word, n, pos, bits = e["word"], e["n"].astype(np.int64), e["pos"].astype(np.int64), np.ascontiguousarray(e["bits"])
-    bits = bits.reshape(len(e), -1)
-    new = np.concatenate(([True], word[1:] != word[:-1])) if len(e) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    size = np.diff(np.concatenate((starts, [len(e)])))
-    ends = np.repeat(starts + size, size)
-    found = []
-    at, lag = np.arange(len(e)), 1
-    while True:
-        at = at[at + lag < ends[at]]
-        at = at[n[at] >= t * n[at + lag] - 1e-9]
-        if not len(at):
-            break
-        b = at + lag
-        need = np.ceil(t / (1 + t) * (n[at] + n[b]) - 1e-9).astype(np.int64)
-        ok = (n[b] >= shortest) & (np.minimum(pos[at], pos[b]) + 1 + np.minimum(n[at] - pos[at], n[b] - pos[b]) - 1 >= need)
-        a, b, need = at[ok], b[ok], need[ok]
-        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-        ok = apart <= n[a] + n[b] - 2 * need
-        if ok.any():
-            found.append((a[ok], b[ok], apart[ok]))
-        lag += 1
-    if not found:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, _LINE), np.zeros(0, _LINE), z, np.zeros(0, bool)
-    a, b, apart = (np.concatenate(x) for x in zip(*found))
-    place = np.zeros(len(e), _LINE)
-    for f in ("doc", "crc", "line"):
-        place[f] = e[f]
-    a_first = (place["doc"][a] < place["doc"][b]) | (place["doc"][a] == place["doc"][b]) & (place["line"][a] < place["line"][b])
-    differ = (place["doc"][a] != place["doc"][b]) | (place["line"][a] != place["line"][b])
-    x, y, apart = np.where(a_first, a, b)[differ], np.where(a_first, b, a)[differ], apart[differ]
-    if only is not None:
-        open_ = _held(place, only)[y]
-        x, y, apart = x[open_], y[open_], apart[open_]
-    order = np.lexsort((place["line"][x], place["doc"][x], apart, y))
-    x, y, apart = x[order], y[order], apart[order]
-    new = np.ones(len(y), bool)
-    new[1:] = y[1:] != y[:-1]
-    starts = np.flatnonzero(new)
-    size = np.diff(np.concatenate((starts, [len(y)])))
-    k = np.arange(len(y)) - np.repeat(starts, size)
-    kept = k < keep
-    return place[y[kept]], place[x[kept]], apart[kept], np.repeat(size > keep, size)[kept]
-
-
-_FOUND = "doc long, crc long, line long, x_doc long, x_crc long, x_line long, apart int, more boolean"
-
-
-def _found(y: np.ndarray, x: np.ndarray | None = None, apart=None, more=None) -> pa.RecordBatch:
-    cols = [pa.array(y[f].astype(np.int64)) for f in ("doc", "crc", "line")]
-    if x is None:
-        cols += [pa.nulls(len(y), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())]
-    else:
-        cols += [pa.array(x[f].astype(np.int64)) for f in ("doc", "crc", "line")] + [pa.array(apart.astype(np.int32)), pa.array(more)]
-    return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _FOUND.split(", ")])
-
-
-def find(rows: DataFrame, counts, t: float, keep: int, only=None) -> DataFrame:
-    """Lines that equal an earlier one (x null), and candidates x for the leaders of the others; for later lines that the filter `only` holds, if given."""
-    parts, hot_word = 2 * parts_for(rows.sparkSession), HOT_WORD
+def _first_of(e: np.ndarray, *by: str) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first line of each class, with those of equal id and number in other rows; indices of the lines after it."""
+    order = np.lexsort((e["crc"], e["line"], e["doc"], *(e[f] for f in reversed(by))))
+    s = e[order]
+    new = np.ones(len(s), bool)
+    new[1:] = np.logical_or.reduce([s[f][1:] != s[f][:-1] for f in by])
+    lead = s[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+    same = (s["doc"] == lead["doc"]) & (s["line"] == lead["line"])
+    other = new.copy()
+    other[1:] |= s["crc"][1:] != s["crc"][:-1]
+    return order[same & other], order[~same]
+
+
+def closest(e: np.ndarray, shortest: int, t: float, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, distance, more): at each word, for each line the closest of the first candidates found, as indices into e; e: one line of each class at a word."""
+    age, order = np.zeros(len(e), np.int64), np.lexsort((e["line"], e["doc"]))
+    doc, line = e["doc"][order], e["line"][order]
+    age[order[1:]] = np.cumsum((doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))
+    order = np.lexsort((age, e["n"], e["word"]))
+    word, n, pos, age = e["word"][order], e["n"][order].astype(np.int64), e["pos"][order].astype(np.int64), age[order]
+    bits = np.ascontiguousarray(e["bits"][order]).reshape(len(e), -1)
+    new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(e) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate((new, [len(e)])))
+    begin, end = np.repeat(new, size), np.repeat(new + size, size)
+    none = np.iinfo(np.int64).max
+    best, seen = np.full(len(e), none), np.zeros(len(e), np.int64)
+    for way in (-1, 1):
+        y, lag = np.flatnonzero(end - begin > 1), 1
+        while True:
+            x = y + way * lag
+            ok = (x >= begin[y]) & (seen[y] < enough) if way < 0 else (x < end[y]) & (seen[y] < enough)
+            y, x = y[ok], x[ok]
+            near = n[x] >= t * n[y] - 1e-9 if way < 0 else n[y] >= t * n[x] - 1e-9
+            y, x = y[near], x[near]
+            if not len(y):
+                break
+            ok = age[x] < age[y]
+            a, b = x[ok], y[ok]
+            need = np.ceil(t / (1 + t) * (n[a] + n[b]) - 1e-9).astype(np.int64)
+            ok = (np.maximum(n[a], n[b]) >= shortest) & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
+            a, b, need = a[ok], b[ok], need[ok]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            ok = apart <= n[a] + n[b] - 2 * need
+            a, b, apart = a[ok], b[ok], apart[ok]
+            best[b] = np.minimum(best[b], (apart << 40) | a)  # each b once, at a lag
+            seen[b] += 1
+            lag += 1
+    y = np.flatnonzero(seen)
+    return order[y], order[best[y] & ((1 << 40) - 1)], best[y] >> 40, seen[y] >= min(2, enough)
+
+
+_KEY = ("doc", "crc", "line")
+_FOUND = "doc long, crc long, line long, x_doc long, x_crc long, x_line long, apart int, more boolean, cell int, x_cell int, at int"
+_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
+def _place_cols(place: np.ndarray) -> list[pa.Array]:
+    return [pa.array(place[f].astype(_LINE[f]).astype(np.int64)) for f in _LINE.names]
+
+
+def _places_of(e: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(e), _LINE)
+    for f in _LINE.names:
+        out[f] = e[f]
+    return out
+
+
+def _equal(place: np.ndarray) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+    return _record(_FOUND_NAMES, _place_cols(place) + [pa.nulls(len(place), k) for k in kinds])
+
+
+def _near(e: np.ndarray, part: int, y: np.ndarray, x: np.ndarray, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """A pair that meets at several words of a part is told once, but for the words at which there were more."""
+    later, earlier = _places_of(e[y]), _places_of(e[x])
+    cell, x_cell, at = _cell(later), _cell(earlier), _word_cell(e["word"][y], part)
+    order = np.lexsort((~more, x_cell, cell))
+    same = np.zeros(len(order), bool)
+    a, b = order[1:], order[:-1]
+    same[1:] = (later[a] == later[b]) & (earlier[a] == earlier[b]) & ~more[a]
+    k = order[~same]
+    return _record(_FOUND_NAMES, _place_cols(later[k]) + _place_cols(earlier[k]) + [pa.array(apart[k].astype(np.int32)), pa.array(more[k]), *(pa.array(c[k].astype(np.int32)) for c in (cell, x_cell, at))])
+
+
+def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
+    """Lines that equal an earlier one (x null), and for leaders of classes the closest candidates x; cell, x_cell, at: bits of filters for the lines and the word."""
+    hot_word, enough, compact = HOT_WORD, ENOUGH, COMPACT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
-            out = list(_blocks(Lines(ids, texts, counts.value), counts.value, parts, t, hot_word))
+            out = list(_blocks(Lines(ids, texts, levels.value), parts, t, hot_word))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["part", "kind", "block"])
+                yield _record(["part", "kind", "block"], [pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[tuple[int, int], list[bytes]] = {}
+        got: dict[tuple[int, int], list[np.ndarray]] = {}
+        size: dict[tuple[int, int], int] = {}
+
+        def held(at: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+            """Merges what has come together; what is left of it stays."""
+            rows_ = np.concatenate(got[at])
+            if at[1] == -1:
+                lead, gone = _first_of(rows_, "s1", "s2")
+                if len(gone):
+                    yield _equal(_places_of(rows_[gone]))
+            else:
+                lead, _ = _first_of(rows_, "word", "sig", "pos")
+            got[at], size[at] = [rows_[lead]], 0
+
         for b in batches:
             for part, kind, block in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == -2:
-                    yield _found(np.frombuffer(block, _LINE))
-                else:
-                    got.setdefault((part, kind), []).append(block)
-        for part, kind in sorted(got):
-            block = b"".join(got.pop((part, kind)))
-            if kind == -1:
-                yield _found(_leaders(np.frombuffer(block, _SIGNED)))
-            else:
-                lo = CLASSES[kind - 1][0] if kind else 0
-                yield _found(*candidates(np.frombuffer(block, _entry(CLASSES[kind][1])), lo + 1, t, keep, None if only is None else only.value))
+                    yield _equal(unpacked(block, _LINE))
+                    continue
+                at = (part, kind)
+                got.setdefault(at, []).append(unpacked(block, _SIGNED if kind == -1 else _entry(CLASSES[kind][1])))
+                size[at] = size.get(at, 0) + len(block)
+                if size[at] > compact:
+                    yield from held(at)
+        for at in sorted(got):
+            yield from held(at)
+            (e,), (part, kind) = got.pop(at), at
+            if kind >= 0:
+                y, x, apart, more = closest(e, (CLASSES[kind - 1][0] if kind else 0) + 1, t, enough)
+                if len(y):
+                    yield _near(e, part, y, x, apart, more)
 
     return rows.mapInArrow(emit, "part int, kind int, block binary").repartition(parts, "part").mapInArrow(compare, _FOUND)
 
 
-_KEY = ("doc", "crc", "line")
-
-
-def _filter(keys: DataFrame):
-    """A broadcast hashed filter of the lines in keys: FILTER_BITS / 8 bytes."""
-    cell = F.pmod(F.crc32(F.concat_ws(":", *_KEY).cast("binary")), F.lit(FILTER_BITS))
+def _filter(cells: DataFrame):
+    """A broadcast filter of the bits in the column cell: FILTER_BITS / 8 bytes."""
     # Spark numbers the bits of a bitmap from 1.
-    bits = keys.select((cell + 1).alias("cell")).groupBy(F.call_function("bitmap_bucket_number", F.col("cell")).alias("bucket"))
-    bits = bits.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("cell"))).alias("bits"))
+    cells = cells.select((F.col("cell").cast("long") + 1).alias("cell"))
+    bits = cells.groupBy(F.call_function("bitmap_bucket_number", F.col("cell")).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("cell"))).alias("bits"))
     wanted = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in bits.collect():
         at = (r["bucket"] - 1) * 4096
         wanted[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)[: len(wanted) - at]
-    return keys.sparkSession.sparkContext.broadcast(wanted)
-
+    return cells.sparkSession.sparkContext.broadcast(wanted)
 
-def _held(place: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which of the places such a filter holds."""
-    keys = [f"{d}:{c}:{n}".encode() for d, c, n in zip(*(place[f].tolist() for f in _KEY))]
-    at = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % FILTER_BITS
-    return (wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-
-def _bodies(rows: DataFrame, needed: DataFrame, counts) -> DataFrame:
-    """(doc, crc, line, words binary) of the needed lines and, as their filter is a hashed one, some others."""
-    shared = _filter(needed)
+def _bodies(rows: DataFrame, wanted) -> DataFrame:
+    """(doc, crc, line, body): the texts of the wanted lines and, as their filter is a hashed one, some others."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
-            lines = Lines(ids, texts, counts.value)
-            some = np.flatnonzero(_held(lines.place, shared.value))
-            place = lines.place[some]
-            words = [np.sort(lines.hash[a : a + n]).tobytes() for a, n in zip(lines.start[some].tolist(), lines.n[some].tolist())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(place[f].astype(np.int64)) for f in _KEY), pa.array(words, pa.binary())], [*_KEY, "words"])
+            doc, number, flat = _split(texts)
+            place = _places(ids, texts, doc, number)
+            some = np.flatnonzero(_in(wanted.value, _cell(place)))
+            if len(some):
+                yield _record([*_KEY, "body"], [*_place_cols(place[some]), flat.take(pa.array(some))])
+
+    return rows.mapInArrow(emit, "doc long, crc long, line long, body string").dropDuplicates(list(_KEY))
+
+
+def alike(a: str, b: str, t: float) -> bool:
+    """Whether the similarity of two lines is t or more."""
+    p, q = set(a.encode().split()), set(b.encode().split())
+    both = len(p & q)
+    return both >= t * (len(p) + len(q) - both) - 1e-9
 
-    return rows.mapInArrow(emit, "doc long, crc long, line long, words binary")
+
+_PAIR = ("doc", "crc", "line", "x_doc", "x_crc", "x_line")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, t: float) -> DataFrame:
     """The pairs whose similarity is t or more."""
-    x = bodies.select(*(F.col(k).alias(f"x_{k}") for k in _KEY), F.col("words").alias("x_words")).dropDuplicates([f"x_{k}" for k in _KEY])
-    both = pairs.join(x, [f"x_{k}" for k in _KEY]).join(bodies.dropDuplicates(list(_KEY)), list(_KEY))
+    x = bodies.select(*(F.col(k).alias(f"x_{k}") for k in _KEY), F.col("body").alias("x_body"))
+    both = pairs.join(x, [f"x_{k}" for k in _KEY]).join(bodies, list(_KEY)).select(*_PAIR, "x_body", "body")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for p, q in zip(b.column(6).to_pylist(), b.column(7).to_pylist()):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(common >= t * (len(p) + len(q) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays(b.columns[:6], [f.split()[0] for f in _FOUND.split(", ")[:6]]).filter(pa.array(ok, pa.bool_()))
+            ok = [alike(p, q, t) for p, q in zip(b.column(6).to_pylist(), b.column(7).to_pylist())]
+            yield b.select(range(6)).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(verify, ", ".join(f"{c} long" for c in _PAIR))
+
+
+_BODY = np.dtype([("word", "<u4"), ("sig", "<u8"), *_LINE.descr, ("open", "<u1"), ("n", "<u4")])
+
+
+def first_match(e: np.ndarray, words: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier): at each word, for each open line the first line that it matches, as indices into e; words: of each line, its hashes."""
+    ys, xs = [], []
+    order = np.lexsort((e["line"], e["doc"], e["word"]))
+    for group in np.split(order, np.flatnonzero(np.diff(e["word"][order])) + 1):
+        g = e[group]
+        if len(g) < 2 or not g["open"].any():
+            continue
+        n = g["n"].astype(np.int64)
+        of = np.repeat(np.arange(len(g)), n)
+        _, code = np.unique(np.concatenate([words[k] for k in group]), return_inverse=True)
+        by_word = np.argsort(code, kind="stable")
+        posting, first = of[by_word], np.concatenate(([0], np.cumsum(np.bincount(code))))
+        start = np.cumsum(n) - n
+        for y in np.flatnonzero(g["open"]).tolist():
+            own = code[start[y] : start[y] + n[y]]
+            size = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            both = np.bincount(posting[at], minlength=len(g))[:y]
+            earlier = (g["doc"][:y] != g["doc"][y]) | (g["line"][:y] != g["line"][y])
+            hit = np.flatnonzero(earlier & (both >= t * (n[:y] + n[y] - both) - 1e-9))
+            if len(hit):
+                ys.append(group[y])
+                xs.append(group[hit[0]])
+    return np.array(ys, np.int64), np.array(xs, np.int64)
+
+
+def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_words) -> DataFrame:
+    """Pairs (later, earlier) that match, for lines in one filter, at the words in another; compared on whole sets of words."""
+    hot_word, compact = HOT_WORD, COMPACT
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(batches):
+            lines = Lines(ids, texts, levels.value)
+            s1, s2 = lines.signatures()
+            signed = np.zeros(len(lines), _SIGNED)
+            signed["s1"], signed["s2"] = s1, s2
+            for f in _LINE.names:
+                signed[f] = lines.place[f]
+            mine = np.zeros(len(lines), bool)
+            mine[_first_of(signed, "s1", "s2")[0]] = True
+            wanted = _in(open_lines.value, _cell(lines.place))
+            for kind, some in _classes(lines.n, t):
+                of, key, _ = lines.keys(some & mine, s1, kind, t, hot_word)
+                word, part = key >> np.uint64(32), (key % np.uint64(parts)).astype(np.int64)
+                ok = _in(open_words.value, _word_cell(word, part))
+                of, word, part = of[ok], word[ok], part[ok]
+                for p in np.unique(part).tolist():
+                    k = np.flatnonzero(part == p)
+                    e = np.zeros(len(k), _BODY)
+                    e["word"], e["sig"], e["open"], e["n"] = word[k], s1[of[k]], wanted[of[k]], lines.n[of[k]]
+                    for f in _LINE.names:
+                        e[f] = lines.place[f][of[k]]
+                    bodies = np.concatenate([lines.hash[a : a + n] for a, n in zip(lines.start[of[k]].tolist(), lines.n[of[k]].tolist())])
+                    yield _record(["part", "block", "words"], [pa.array([p], pa.int32()), pa.array([packed(e)], pa.binary()), pa.array([bodies.tobytes()], pa.binary())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, tuple[np.ndarray, list[np.ndarray], int]] = {}
+
+        def merged(part: int) -> None:
+            e, words, _ = got[part]
+            lead, _ = _first_of(e, "word", "sig")
+            got[part] = e[lead], [words[k] for k in lead.tolist()], 0
+
+        for b in batches:
+            for part, block, flat in zip(*(c.to_pylist() for c in b.columns)):
+                e = unpacked(block, _BODY)
+                words = np.split(np.frombuffer(flat, np.uint64), np.cumsum(e["n"].astype(np.int64))[:-1])
+                e_, words_, size = got.get(part, (e[:0], [], 0))
+                got[part] = np.concatenate((e_, e)), words_ + words, size + len(flat)
+                if got[part][2] > compact:
+                    merged(part)
+        for part in sorted(got):
+            merged(part)
+            e, words, _ = got.pop(part)
+            y, x = first_match(e, words, t)
+            yield _record(list(_PAIR), _place_cols(_places_of(e[y])) + _place_cols(_places_of(e[x])))
+
+    return rows.mapInArrow(emit, "part int, block binary, words binary").repartition(parts, "part").mapInArrow(compare, ", ".join(f"{c} long" for c in _PAIR))
+
 
-    return both.select(*_KEY, *(f"x_{k}" for k in _KEY), "x_words", "words").mapInArrow(verify, ", ".join(_FOUND.split(", ")[:6]))
+def _order(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long: itself, or a hash of an id that is no integer."""
+    whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return F.col(f"`{id_col}`").cast("long") if whole else F.when(F.col(f"`{id_col}`").isNotNull(), F.xxhash64(F.col(f"`{id_col}`")))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, crc, line, x_doc, x_line): the lines that go; x is an earlier line that matches, null where an equal one exists. crc: CRC-32 of the line's text's document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    counts = docs.sparkSession.sparkContext.broadcast(count_words(rows))
-    names = [*_KEY, *(f"x_{k}" for k in _KEY)]
-    keep, only, equal, found_near = KEEP, None, None, []
-    while True:
-        found = materialise(find(rows, counts, similarity, keep, only))
-        # Equal lines are the same in every round. Leaders of classes are compared, so none of them stands on the later side of a pair.
-        equal = found.filter("x_doc is null").select(*_KEY) if equal is None else equal
-        pairs = found.filter("x_doc is not null")
-        best = pairs.groupBy(*_KEY).agg(F.min(F.struct("apart", *(f"x_{k}" for k in _KEY))).alias("b")).select(*_KEY, *(F.col(f"b.x_{k}").alias(f"x_{k}") for k in _KEY))
-        needed = pairs.select(*_KEY).union(pairs.select(*(F.col(f"x_{k}") for k in _KEY))).distinct()
-        bodies = materialise(_bodies(rows, needed, counts))
-        near = materialise(_verified(best, bodies, similarity))
-        open_ = pairs.join(near.select(*_KEY).distinct(), list(_KEY), "left_anti")
-        more = materialise(_verified(open_.select(*names).distinct(), bodies, similarity))
-        found_near += [near, more]
-        left = materialise(open_.filter("more").select(*_KEY).distinct().join(more.select(*_KEY).distinct(), list(_KEY), "left_anti"))
-        if left.isEmpty():
-            break
-        # All candidates of those that have not found a match among their closest.
-        keep, only = 1 << 40, _filter(left)
-    gone = reduce(DataFrame.unionByName, found_near).groupBy(*_KEY).agg(F.min(F.struct("x_doc", "x_line")).alias("x"))
-    out = gone.select(*_KEY, F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"))
+    """(doc, crc, line, x_doc, x_line): the lines that go; x is an earlier line that matches, null where an equal one exists. doc: the id as a long; crc: XXH64 of the text."""
+    t = similarity
+    spark = ship(docs.sparkSession)
+    rows = docs.select(_order(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null and text is not null")
+    counted, n_words = count_words(rows)
+    levels = spark.sparkContext.broadcast(counted)
+    # About a fifth of the words are in prefixes, at some 50 bytes each.
+    parts = max(parts_for(spark), -(-n_words * 10 // PART))
+    found = materialise(find(rows, levels, parts, t))
+    pairs = found.filter("x_doc is not null")
+    near = pairs.select(F.explode(F.array("cell", "x_cell")).alias("cell"))
+    bodies = materialise(_bodies(rows, _filter(near)))
+    # Leaders of classes are compared, so a line that equals an earlier one is never on the later side of a pair.
+    best = pairs.groupBy(*_KEY).agg(F.min(F.struct("apart", *(f"x_{k}" for k in _KEY))).alias("b")).select(*_KEY, *(F.col(f"b.x_{k}").alias(f"x_{k}") for k in _KEY))
+    matched = materialise(_verified(best, bodies, t))
+    rest = pairs.join(matched.select(*_KEY), list(_KEY), "left_anti")
+    more = materialise(_verified(rest.select(*_PAIR).distinct().join(best, list(_PAIR), "left_anti"), bodies, t))
+    matched = matched.unionByName(more)
+    left = materialise(rest.filter("more").join(more.select(*_KEY).distinct(), list(_KEY), "left_anti").select("cell", "at").distinct())
+    if not left.isEmpty():
+        matched = matched.unionByName(materialise(find_all(rows, levels, parts, t, _filter(left), _filter(left.select(F.col("at").alias("cell"))))))
+    out = matched.groupBy(*_KEY).agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select(*_KEY, F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"))
     none = F.lit(None).cast("long")
-    return out.unionByName(equal.select(*_KEY, none.alias("x_doc"), none.alias("x_line")))
+    return out.unionByName(found.filter("x_doc is null").select(*_KEY, none.alias("x_doc"), none.alias("x_line")))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, detail: bool = False) -> DataFrame:
-    """docs with the later ones of matching lines removed from the text; with detail, also __lines: the numbers of the lines that went."""
-    gone = materialise(removed_lines(docs, id_col, text_col, similarity).groupBy("doc", "crc").agg(F.sort_array(F.collect_set("line")).alias("__lines")))
-    keyed = docs.withColumn("__crc", F.crc32(F.col(text_col).cast("binary")) % 65536)
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs and the numbers of the lines that went, with those lines removed from the text; gone: (doc, crc, line). The last column holds the numbers."""
+    names = docs.columns
+    c_bits, c_bucket, c_id, c_text, c_lines = aside(docs, "bits", "bucket", "id", "crc", "lines")
+    gone = materialise(gone.groupBy("doc", "crc").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    gone = gone.select(F.col("doc").alias(c_id), F.col("crc").alias(c_text), F.col("gone").alias(c_lines))
+    keyed = docs.withColumn(c_id, _order(docs, id_col)).withColumn(c_text, F.xxhash64(F.col(f"`{text_col}`")))
+    number, bit = (lambda c, f=f: F.call_function(f, c) for f in ("bitmap_bucket_number", "bitmap_bit_position"))
+    cell = F.pmod(F.xxhash64(F.col(c_id), F.col(c_text)), F.lit(FILTER_BITS)) + 1
+    # Documents that surely lose no line pass by the shuffle; the filter has FILTER_BITS / 8 bytes.
+    bits = gone.select(cell.alias("c")).groupBy(number(F.col("c")).alias(c_bucket)).agg(F.call_function("bitmap_construct_agg", bit(F.col("c"))).alias(c_bits))
+    probed = keyed.withColumn(c_bucket, number(cell)).join(F.broadcast(bits), c_bucket, "left")
+    byte = F.conv(F.hex(F.substring(F.col(c_bits), (bit(cell) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.call_function("getbit", byte, (bit(cell) % 8).cast("int")) == 1, F.lit(False))
+    own = [F.col(f"`{n}`") for n in names]
+    as_is = probed.filter(~maybe).select(*own, F.lit(None).cast("array<bigint>").alias(c_lines))
+    joined = probed.filter(maybe).drop(c_bits, c_bucket).join(gone, [c_id, c_text], "left")
+    text = F.col(f"`{text_col}`")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(c_lines), i.cast("long")))
+    cut = F.when(F.col(c_lines).isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return as_is.unionByName(joined.withColumn(text_col, cut).select(*own, F.col(c_lines)))
 
-    def cell(*key):
-        return F.crc32(F.concat_ws(":", *[F.col(k).cast("string") for k in key]).cast("binary")) % FILTER_BITS + 1
 
-    # Documents that surely lose no line pass by the shuffle; the filter has FILTER_BITS / 8 bytes.
-    number, bit = (lambda c, f=f: F.call_function(f, c) for f in ("bitmap_bucket_number", "bitmap_bit_position"))
-    bits = gone.select(cell("doc", "crc").alias("c")).groupBy(number(F.col("c")).alias("__bucket")).agg(F.call_function("bitmap_construct_agg", bit(F.col("c"))).alias("__bits"))
-    keyed = keyed.withColumn("__cell", cell(id_col, "__crc")).withColumn("__bucket", number(F.col("__cell"))).join(F.broadcast(bits), "__bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__cell) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    maybe = F.coalesce(F.call_function("getbit", byte, (bit(F.col("__cell")) % 8).cast("int")) == 1, F.lit(False))
-    keyed = keyed.withColumn("__maybe", maybe).drop("__bucket", "__bits", "__cell")
-    lines = F.lit(None).cast("array<bigint>").alias("__lines")
-    names = [*docs.columns, *(["__lines"] if detail else [])]
-    as_is = keyed.filter(~F.col("__maybe")).select(*docs.columns, lines).select(*names)
-    some = keyed.filter("__maybe")
-    joined = some.join(gone, (some[id_col] == gone["doc"]) & (some["__crc"] == gone["crc"]), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i.cast("long")))
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return as_is.unionByName(joined.withColumn(text_col, text).select(*names))
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with the later ones of matching lines removed from the text."""
+    out = without(docs, removed_lines(docs, id_col, text_col, similarity), id_col, text_col)
+    return out.drop(out.columns[-1])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    out = dedup(docs.withColumn("n_lines", n_lines), detail=True)
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("__lines").cast("array<string>"), ","), F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    out = without(docs.withColumn("n_lines", n_lines), removed_lines(docs), "doc_id", "text")
+    lines = F.col(out.columns[-1])
+    return out.select("doc_id", "n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(lines.cast("array<string>"), ","), F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

@@ -1,7 +1,9 @@
 """Line dedup against comparing every line with every earlier one."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from argolith.llm import line_dedup
@@ -47,23 +49,67 @@ def test_equals_brute_force(spark, seed):
     assert sorted((r.doc_id, r.text) for r in dedup(df).collect()) == kept(rows)
 
 
-def test_hot_words_and_few_candidates(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT_WORD", 8)
-    monkeypatch.setattr(line_dedup, "KEEP", 1)
+@pytest.mark.parametrize("hot, enough", [(8, 1), (3, 2), (50_000, 1)])
+def test_hot_words_and_few_candidates(spark, monkeypatch, hot, enough):
+    monkeypatch.setattr(line_dedup, "HOT_WORD", hot)
+    monkeypatch.setattr(line_dedup, "ENOUGH", enough)
+    monkeypatch.setattr(line_dedup, "COMPACT", 2_000)
     rows = made(3)
     df = spark.createDataFrame([(d, t, "s", 7, "x") for d, t in rows], DOCS)
     assert sorted((r.doc_id, r.text) for r in dedup(df).collect()) == kept(rows)
 
 
+def test_close_but_unlike_lines_stay(spark, monkeypatch):
+    """Lines with many candidates that fail: their matches are found by comparing with all."""
+    monkeypatch.setattr(line_dedup, "ENOUGH", 1)
+    seen = []
+    whole = line_dedup.find_all
+    monkeypatch.setattr(line_dedup, "find_all", lambda *a: seen.append(1) or whole(*a))
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        x = list(base)
+        for at in r.sample(range(100), 11):
+            x[at] = f"v{r.randrange(60)}"
+        rows.append((i, " ".join(x)))
+    df = spark.createDataFrame([(d, t, "s", 7, "x") for d, t in rows], DOCS)
+    assert sorted((r.doc_id, r.text) for r in dedup(df).collect()) == kept(rows)
+    assert seen
+
+
 def test_edges(spark):
     long = " ".join(f"v{i}" for i in range(3000))
-    rows = [(3, "a b c\n\na b c"), (1, "c b a"), (None, "a b c"), (4, None), (5, ""), (6, "\n\n"), (7, long), (8, long + " extra"), (9, "é ü\r\né ü"), (9, "é ü\r\né ü")]
+    rows = [(3, "a b c\n\na b c"), (1, "c b a"), (None, "a b c"), (4, None), (5, ""), (6, "\n\n"), (7, long), (8, long + " extra"), (9, "é ü\r\né ü"), (9, "é ü\r\né ü"), (9, "c b a\nanother text"), (2, "p q r s t"), (9, "p q r s t"), (9, "p q r s t\nx")]
     df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)
     got = dedup(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in got.collect()) == [(d, t or "") for d, t in kept(rows)]
 
 
+def test_names_that_clash_and_ids_that_are_strings(spark):
+    names = ["doc", "crc", "lines", "bits", "bucket", "id", "cell", "gone", "x.y"]
+    rows = [(f"d{i}", t, *names) for i, t in enumerate(["one two three\nfour", "three two one", None, "five"])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = {r.doc_id: r for r in dedup(df).collect()}
+    assert dedup(df).columns == df.columns and all(tuple(r)[2:] == tuple(names) for r in got.values())
+    assert sorted(got) == ["d0", "d1", "d2", "d3"] and got["d2"].text is None and got["d3"].text == "five"
+    assert {got["d0"].text, got["d1"].text} in ({"four", "three two one"}, {"one two three\nfour", ""})
+
+
+def test_many_lines_of_one_template_stay_small():
+    """20,000 lines that differ in one word: no list of all pairs is held."""
+    n, size = 20_000, 40
+    e = np.zeros(n, line_dedup._entry(64))
+    e["sig"], e["doc"], e["n"] = np.arange(n), np.arange(n), size
+    e["bits"][:, 0] = np.uint64(1) << (np.arange(n) % 64).astype(np.uint64)
+    tracemalloc.start()
+    y, x, _, more = line_dedup.closest(e, 1, 0.8, line_dedup.ENOUGH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(y) == n - 1 and (x < y).all() and more[1:].all() and peak < 50e6
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert dedup(df).collect() == []
