@@ -15,11 +15,11 @@ matches a line that comes earlier in the order of (doc_id, line number).
    length and the positional filter and a comparison of parity bits of their words,
    whose number of differences is at most the sets' difference. All of these keep
    every match.
-3. A line needs one earlier match only, so where lines meet each reports the closest
-   of the first ENOUGH candidates it finds, and whether it saw more than one. The
-   closest are verified on the lines' texts, then what else was reported. For lines
-   that find no match so, though there were more candidates, the lines that they meet
-   are compared on whole sets of words (64-bit hashes), all of them.
+3. A line needs one earlier match only, so where lines meet each reports the KEEP
+   closest of the first ENOUGH candidates it finds, and whether it saw more. The
+   closest is verified on the lines' texts, then what else was reported. For lines that
+   find no match so, though there were more candidates, the lines that they meet are
+   compared on whole sets of words (64-bit hashes), all of them.
 
 Data of these steps move in packed blocks, so that shuffling costs no work for each
 row; the number of parts follows from the number of words. Copies of a class are
@@ -59,8 +59,8 @@ SLICE_CHARS = 4_000_000
 LONG_WORD = 64
 #: Lines that share a word and are compared in one task.
 HOT_WORD = 50_000
-#: Candidates among which a line looks for its closest at a word.
-ENOUGH = 16
+#: Candidates among which a line looks for its closest at a word, and how many of these it reports.
+ENOUGH, KEEP = 16, 4
 #: Bytes of a part that are expected, and after which copies in it are merged.
 PART, COMPACT = 16_000_000, 64_000_000
 #: Bits of the filters for lines and words that are looked for again.
@@ -72,28 +72,38 @@ PAIRED = 352
 _CHUNKS = 16
 #: Steps of the logarithm of a count.
 _STEPS = 5
-_LINE = np.dtype([("doc", "<i8"), ("crc", "<u8"), ("line", "<u4")])
+_AT = np.dtype([("doc", "<i8"), ("line", "<u4")])
+_LINE = np.dtype([*_AT.descr, ("crc", "<u8")])
+_COUNT = np.dtype([("at", "<u4"), ("n", "<i8")])
 _SIGNED = np.dtype([("s1", "<u8"), ("s2", "<u8"), *_LINE.descr])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_HOT = np.uint64(1 << 32)
 
 
 def _entry(bits: int) -> np.dtype:
     """A key of a line's prefix. The part it is in goes with the word; sig: half of the signature of the class."""
     size = "<u2" if bits < CLASSES[-1][1] else "<u4"
-    return np.dtype([("word", "<u4"), ("sig", "<u8"), *_LINE.descr, ("n", size), ("pos", size), ("bits", "<u8", (bits // 64,))])
+    return np.dtype([("word", "<u4"), ("sig", "<u8"), *_AT.descr, ("n", size), ("pos", size), ("bits", "<u8", (bits // 64,))])
 
 
 def packed(rows: np.ndarray) -> bytes:
-    """Column after column, which compresses better than row after row."""
-    return b"".join(rows[f].tobytes() for f in rows.dtype.names)
+    """Column after column, each in as few bytes a number as its largest takes."""
+    head, body = [len(rows).to_bytes(8, "little")], []
+    for f in rows.dtype.names:
+        x = rows[f]
+        kind = np.min_scalar_type(int(x.max())) if len(x) and int(x.min()) >= 0 else x.dtype
+        head.append(kind.str.encode().ljust(4))
+        body.append(x.astype(kind).tobytes())
+    return b"".join(head + body)
 
 
 def unpacked(block: bytes, kind: np.dtype) -> np.ndarray:
-    out, at = np.zeros(len(block) // kind.itemsize, kind), 0
-    for f in kind.names:
-        size = kind[f].itemsize * len(out)
-        out[f] = np.frombuffer(block, kind[f].base, offset=at, count=size // kind[f].base.itemsize).reshape(out[f].shape)
-        at += size
+    n, at = int.from_bytes(block[:8], "little"), 8 + 4 * len(kind.names)
+    out = np.empty(n, kind)
+    for k, f in enumerate(kind.names):
+        x = np.frombuffer(block, block[8 + 4 * k : 12 + 4 * k].decode().strip(), offset=at, count=out[f].size)
+        out[f] = x.reshape(out[f].shape)
+        at += x.nbytes
     return out
 
 
@@ -159,8 +169,7 @@ def _at_most(levels: np.ndarray) -> np.ndarray:
 class Lines:
     """The lines of a slice that have words, each as its distinct words in the order of rarity."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array, levels: np.ndarray) -> None:
-        doc, number, flat = _split(texts)
+    def __init__(self, place: np.ndarray, flat: pa.Array, levels: np.ndarray) -> None:
         words = pc.ascii_split_whitespace(flat)
         d = words.flatten().dictionary_encode()
         known, code = hash_of(d.dictionary), d.indices.to_numpy(zero_copy_only=False)
@@ -184,8 +193,9 @@ class Lines:
         self.n = np.diff(np.concatenate((self.start, [len(line)])))
         self.of = np.repeat(np.arange(len(self.n)), self.n)
         self.pos = np.arange(len(line)) - np.repeat(self.start, self.n)
-        at = line[self.start]
-        self.place = _places(ids, texts, doc[at], number[at])
+        self.own = np.zeros(len(per_line), bool)
+        self.own[line[self.start]] = True
+        self.place = place[line[self.start]]
 
     def __len__(self) -> int:
         return len(self.n)
@@ -213,8 +223,8 @@ class Lines:
         hot_level = int(level(hot_word)) + 1
         mine = np.flatnonzero(some[self.of] & (self.pos < short[self.of]) & (self.level > 0))
         hot = self.level[mine] >= hot_level
-        salt = np.uint64(kind + 1) * _GOLD
-        line, key, pos, size = ([x] for x in (self.of[mine[~hot]], _mixed(self.hash[mine[~hot]] + salt, 0xD6E8FEB86659FD93), self.pos[mine[~hot]], np.zeros(int((~hot).sum()), np.int64)))
+        salt = _salt(kind)
+        line, key, pos, size = ([x] for x in (self.of[mine[~hot]], word_key(self.hash[mine[~hot]], kind), self.pos[mine[~hot]], np.zeros(int((~hot).sum()), np.int64)))
         i = mine[hot]
         if len(i) and CLASSES[kind][0] <= PAIRED:
             # Each other word of the prefix that is longer by one; a pair of two such words once.
@@ -225,12 +235,12 @@ class Lines:
             ok = (j != i) & (self.level[j] > 0) & ~twice
             i, j = i[ok], j[ok]
             line.append(self.of[i])
-            key.append(_mixed(_mixed(self.hash[i] + self.hash[j] + salt, 0xFF51AFD7ED558CCD), 0xD6E8FEB86659FD93))
+            key.append(_mixed(_mixed(self.hash[i] + self.hash[j] + salt, 0xFF51AFD7ED558CCD), 0xD6E8FEB86659FD93) | _HOT)
             pos.append(np.minimum(self.pos[i], self.pos[j]))
             size.append(np.minimum(_at_most(self.level[i]), _at_most(self.level[j])))
         elif len(i):
             line.append(self.of[i])
-            key.append(_mixed(self.hash[i] + salt, 0xD6E8FEB86659FD93))
+            key.append(word_key(self.hash[i], kind) | _HOT)
             pos.append(self.pos[i])
             size.append(_at_most(self.level[i]))
         line, key, pos, size = map(np.concatenate, (line, key, pos, size))
@@ -244,7 +254,16 @@ class Lines:
         other = (np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.uint64)
         own = _mixed(sig[line[at]], 0xC4CEB9FE1A85EC53) % g
         cell = np.minimum(own, other) * g + np.maximum(own, other)
-        return line[at], np.where(g > 1, _mixed(key[at] + (cell + np.uint64(1)) * _GOLD, 0xFF51AFD7ED558CCD), key[at]), pos[at]
+        return line[at], np.where(g > 1, _mixed(key[at] + (cell + np.uint64(1)) * _GOLD, 0xFF51AFD7ED558CCD) | _HOT, key[at]), pos[at]
+
+
+def _salt(kind: int) -> np.uint64:
+    return np.uint64((kind + 1) * int(_GOLD) % (1 << 64))
+
+
+def word_key(h: np.ndarray, kind: int) -> np.ndarray:
+    """The key of a word that is not hot in a class of length; keys that have to do with hot words have the bit _HOT."""
+    return _mixed(h + _salt(kind), 0xD6E8FEB86659FD93) & ~_HOT
 
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -255,16 +274,18 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(per_doc)), per_doc), number, lines.flatten()
 
 
-def _places(ids: np.ndarray, texts: pa.Array, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+def _lines_of(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(places, texts) of all lines."""
+    doc, number, flat = _split(texts)
     place = np.zeros(len(doc), _LINE)
     place["doc"], place["line"] = ids[doc], number
     place["crc"] = np.array([xxhash.xxh64_intdigest(x, 42) for x in texts.cast(pa.binary()).to_pylist()], np.uint64)[doc]
-    return place
+    return place, flat
 
 
 def _cell(place: np.ndarray) -> np.ndarray:
     """The bit of a filter that a line falls on."""
-    return (_mixed(_mixed(place["doc"].view(np.uint64) * _GOLD + place["line"], 0xFF51AFD7ED558CCD) ^ place["crc"], 0xC4CEB9FE1A85EC53) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (_mixed(_mixed(place["doc"].astype(np.int64).view(np.uint64) * _GOLD + place["line"], 0xFF51AFD7ED558CCD), 0xC4CEB9FE1A85EC53) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _word_cell(word: np.ndarray, part) -> np.ndarray:
@@ -291,17 +312,20 @@ def count_words(rows: DataFrame) -> tuple[np.ndarray, int]:
         for k in range(_CHUNKS):
             at = np.flatnonzero(total[k * size : (k + 1) * size])
             if len(at):
-                yield _record(["chunk", "at", "n"], [pa.array([k], pa.int32()), pa.array([at.astype("<u4").tobytes()]), pa.array([total[k * size + at].astype("<i8").tobytes()])])
+                block = np.zeros(len(at), _COUNT)
+                block["at"], block["n"] = at, total[k * size + at]
+                yield _record(["chunk", "block"], [pa.array([k], pa.int32()), pa.array([packed(block)])])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, at, n in zip(*(c.to_pylist() for c in b.columns)):
-                total.setdefault(k, np.zeros(COUNTERS // _CHUNKS, np.int64))[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")
+            for k, block in zip(*(c.to_pylist() for c in b.columns)):
+                some = unpacked(block, _COUNT)
+                total.setdefault(k, np.zeros(COUNTERS // _CHUNKS, np.int64))[some["at"]] += some["n"]
         yield _record(["chunk", "levels", "n"], [pa.array(list(total), pa.int32()), pa.array([level(c).tobytes() for c in total.values()], pa.binary()), pa.array([int(c.sum()) for c in total.values()], pa.int64())])
 
     levels, n = np.zeros(COUNTERS, np.uint8).reshape(_CHUNKS, -1), 0
-    for r in rows.mapInArrow(count, "chunk int, at binary, n binary").repartition(_CHUNKS, "chunk").mapInArrow(add, "chunk int, levels binary, n long").collect():  # a byte for each counter
+    for r in rows.mapInArrow(count, "chunk int, block binary").repartition(_CHUNKS, "chunk").mapInArrow(add, "chunk int, levels binary, n long").collect():  # a byte for each counter
         levels[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
         n += r["n"]
     return levels.reshape(-1), n
@@ -328,7 +352,7 @@ def _blocks(lines: Lines, parts: int, t: float, hot_word: int) -> Iterator[tuple
     signed["s1"], signed["s2"] = s1, s2
     for f in _LINE.names:
         signed[f] = lines.place[f]
-    lead, gone = _first_of(signed, "s1", "s2")
+    lead, gone = _leaders(signed)
     if len(gone):
         yield int(gone[0]) % parts, -2, packed(lines.place[gone])
     for p, block in deal(signed[lead], (s1[lead] % np.uint64(parts)).astype(np.int64), parts):
@@ -344,18 +368,18 @@ def _blocks(lines: Lines, parts: int, t: float, hot_word: int) -> Iterator[tuple
         row[some] = np.arange(len(some))
         e = np.zeros(len(of), _entry(bits))
         e["word"], e["sig"], e["n"], e["pos"], e["bits"] = key >> np.uint64(32), s1[of], lines.n[of], pos, lines.parities(some, bits)[row[of]]
-        for f in _LINE.names:
+        for f in _AT.names:
             e[f] = lines.place[f][of]
         for p, block in deal(e, (key % np.uint64(parts)).astype(np.int64), parts):
             yield p, kind, block
 
 
-def _first_of(e: np.ndarray, *by: str) -> tuple[np.ndarray, np.ndarray]:
+def _leaders(signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the first line of each class, with those of equal id and number in other rows; indices of the lines after it."""
-    order = np.lexsort((e["crc"], e["line"], e["doc"], *(e[f] for f in reversed(by))))
-    s = e[order]
+    order = np.lexsort((signed["crc"], signed["line"], signed["doc"], signed["s2"], signed["s1"]))
+    s = signed[order]
     new = np.ones(len(s), bool)
-    new[1:] = np.logical_or.reduce([s[f][1:] != s[f][:-1] for f in by])
+    new[1:] = (s["s1"][1:] != s["s1"][:-1]) | (s["s2"][1:] != s["s2"][:-1])
     lead = s[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
     same = (s["doc"] == lead["doc"]) & (s["line"] == lead["line"])
     other = new.copy()
@@ -363,84 +387,107 @@ def _first_of(e: np.ndarray, *by: str) -> tuple[np.ndarray, np.ndarray]:
     return order[same & other], order[~same]
 
 
-def closest(e: np.ndarray, shortest: int, t: float, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, distance, more): at each word, for each line the closest of the first candidates found, as indices into e; e: one line of each class at a word."""
-    age, order = np.zeros(len(e), np.int64), np.lexsort((e["line"], e["doc"]))
-    doc, line = e["doc"][order], e["line"][order]
-    age[order[1:]] = np.cumsum((doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))
-    order = np.lexsort((age, e["n"], e["word"]))
-    word, n, pos, age = e["word"][order], e["n"][order].astype(np.int64), e["pos"][order].astype(np.int64), age[order]
-    bits = np.ascontiguousarray(e["bits"][order]).reshape(len(e), -1)
-    new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(e) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate((new, [len(e)])))
-    begin, end = np.repeat(new, size), np.repeat(new + size, size)
-    none = np.iinfo(np.int64).max
-    best, seen = np.full(len(e), none), np.zeros(len(e), np.int64)
+def _merged(e: np.ndarray) -> np.ndarray:
+    """Indices of the first line of each class at a word, by word, then by number of words."""
+    # Sixteen bits of the signature bring copies together; should others get between them, copies stay, which does no harm.
+    order = np.argsort((e["word"].astype(np.uint64) << np.uint64(32)) | (np.minimum(e["n"], 65535).astype(np.uint64) << np.uint64(16)) | (e["sig"] >> np.uint64(48)), kind="stable")
+    word, sig, n = e["word"][order], e["sig"][order], e["n"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (word[1:] != word[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
+    if new.all():
+        return order
+    run = np.cumsum(new) - 1
+    many = np.bincount(run)[run] > 1
+    at, of = order[many], run[many]
+    at = at[np.lexsort((e["line"][at], e["doc"][at], of))]
+    of = np.sort(of)
+    out = order[new]
+    out[of[np.flatnonzero(np.diff(of, prepend=-1))]] = at[np.flatnonzero(np.diff(of, prepend=-1))]
+    return out
+
+
+def closest(e: np.ndarray, shortest: int, t: float, enough: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, distance, more): at each word, for each line the closest of the first candidates found, as indices into e; e: in the order of _merged."""
+    word, sizes = e["word"], np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(e) else sizes
+    sizes = np.diff(np.concatenate((new, [len(e)])))
+    own = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    sizes = sizes[sizes > 1]
+    end = np.repeat(np.cumsum(sizes), sizes)
+    begin = end - np.repeat(sizes, sizes)
+    n, pos, doc, line = (e[f][own].astype(np.int64) for f in ("n", "pos", "doc", "line"))
+    bits = np.ascontiguousarray(e["bits"][own])
+    best, seen = np.full((keep, len(own)), np.iinfo(np.int64).max), np.zeros(len(own), np.int64)
     for way in (-1, 1):
-        y, lag = np.flatnonzero(end - begin > 1), 1
+        y, lag = np.arange(len(own)), 1
         while True:
             x = y + way * lag
-            ok = (x >= begin[y]) & (seen[y] < enough) if way < 0 else (x < end[y]) & (seen[y] < enough)
+            ok = ((x >= begin[y]) if way < 0 else (x < end[y])) & (seen[y] < enough)
             y, x = y[ok], x[ok]
             near = n[x] >= t * n[y] - 1e-9 if way < 0 else n[y] >= t * n[x] - 1e-9
             y, x = y[near], x[near]
             if not len(y):
                 break
-            ok = age[x] < age[y]
+            ok = (doc[x] < doc[y]) | (doc[x] == doc[y]) & (line[x] < line[y])
             a, b = x[ok], y[ok]
             need = np.ceil(t / (1 + t) * (n[a] + n[b]) - 1e-9).astype(np.int64)
             ok = (np.maximum(n[a], n[b]) >= shortest) & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
             a, b, need = a[ok], b[ok], need[ok]
             apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
             ok = apart <= n[a] + n[b] - 2 * need
-            a, b, apart = a[ok], b[ok], apart[ok]
-            best[b] = np.minimum(best[b], (apart << 40) | a)  # each b once, at a lag
+            a, b, apart = a[ok], b[ok], apart[ok]  # each b once, at a lag
+            got = (apart << 40) | a
+            for k in range(keep):
+                best[k, b], got = np.minimum(best[k, b], got), np.maximum(best[k, b], got)
             seen[b] += 1
             lag += 1
-    y = np.flatnonzero(seen)
-    return order[y], order[best[y] & ((1 << 40) - 1)], best[y] >> 40, seen[y] >= min(2, enough)
+    k, y = np.nonzero(np.arange(keep)[:, None] < seen)
+    got = best[k, y]
+    return own[y], own[got & ((1 << 40) - 1)], got >> 40, (seen > min(keep, enough - 1))[y]
 
 
-_KEY = ("doc", "crc", "line")
-_FOUND = "doc long, crc long, line long, x_doc long, x_crc long, x_line long, apart int, more boolean, cell int, x_cell int, at int"
+_KEY, _Y = ("doc", "crc", "line"), ("doc", "line", "sig")
+_X = tuple(f"x_{k}" for k in _Y)
+_PAIR = (*_Y, *_X)
+_FOUND = "doc long, line long, sig long, x_doc long, x_line long, x_sig long, crc long, apart int, more boolean, cell int, x_cell int, at int, hot boolean"
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+_FOUND_TYPES = [pa.int64()] * 7 + [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
 
-def _place_cols(place: np.ndarray) -> list[pa.Array]:
-    return [pa.array(place[f].astype(_LINE[f]).astype(np.int64)) for f in _LINE.names]
-
-
-def _places_of(e: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(e), _LINE)
-    for f in _LINE.names:
-        out[f] = e[f]
-    return out
+def _found(n: int, **cols: np.ndarray) -> pa.RecordBatch:
+    return _record(_FOUND_NAMES, [pa.array(np.ascontiguousarray(cols[c]).astype(np.int64) if k == pa.int64() else cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(_FOUND_NAMES, _FOUND_TYPES)])
 
 
 def _equal(place: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
-    return _record(_FOUND_NAMES, _place_cols(place) + [pa.nulls(len(place), k) for k in kinds])
+    return _found(len(place), doc=place["doc"], line=place["line"], crc=place["crc"])
 
 
 def _near(e: np.ndarray, part: int, y: np.ndarray, x: np.ndarray, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
     """A pair that meets at several words of a part is told once, but for the words at which there were more."""
-    later, earlier = _places_of(e[y]), _places_of(e[x])
-    cell, x_cell, at = _cell(later), _cell(earlier), _word_cell(e["word"][y], part)
-    order = np.lexsort((~more, x_cell, cell))
-    same = np.zeros(len(order), bool)
-    a, b = order[1:], order[:-1]
-    same[1:] = (later[a] == later[b]) & (earlier[a] == earlier[b]) & ~more[a]
-    k = order[~same]
-    return _record(_FOUND_NAMES, _place_cols(later[k]) + _place_cols(earlier[k]) + [pa.array(apart[k].astype(np.int32)), pa.array(more[k]), *(pa.array(c[k].astype(np.int32)) for c in (cell, x_cell, at))])
+    order = np.lexsort((~more, e["sig"][x], e["sig"][y]))
+    y, x, apart, more = y[order], x[order], apart[order], more[order]
+    again = np.zeros(len(y), bool)
+    again[1:] = (e["sig"][y][1:] == e["sig"][y][:-1]) & (e["sig"][x][1:] == e["sig"][x][:-1])
+    # The words are told with one of the pairs of a line.
+    told = np.zeros(len(y), bool)
+    _, first = np.unique(np.stack((e["sig"][y], e["word"][y].astype(np.uint64))), axis=1, return_index=True) if more.any() else (None, [])
+    told[first] = True
+    keep = ~again | more & told
+    y, x, apart, more = y[keep], x[keep], apart[keep], more[keep]
+    later, earlier, word = e[y], e[x], e["word"][y]
+    return _found(
+        len(y), doc=later["doc"], line=later["line"], sig=later["sig"].view(np.int64), x_doc=earlier["doc"], x_line=earlier["line"], x_sig=earlier["sig"].view(np.int64),
+        apart=apart.astype(np.int32), more=more, cell=_cell(later).astype(np.int32), x_cell=_cell(earlier).astype(np.int32), at=_word_cell(word, part).astype(np.int32), hot=(word & 1).astype(bool),
+    )
 
 
 def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
     """Lines that equal an earlier one (x null), and for leaders of classes the closest candidates x; cell, x_cell, at: bits of filters for the lines and the word."""
-    hot_word, enough, compact = HOT_WORD, ENOUGH, COMPACT
+    hot_word, enough, keep, compact = HOT_WORD, ENOUGH, KEEP, COMPACT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
-            out = list(_blocks(Lines(ids, texts, levels.value), parts, t, hot_word))
+            out = list(_blocks(Lines(*_lines_of(ids, texts), levels.value), parts, t, hot_word))
             if out:
                 yield _record(["part", "kind", "block"], [pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))])
 
@@ -448,16 +495,16 @@ def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
         got: dict[tuple[int, int], list[np.ndarray]] = {}
         size: dict[tuple[int, int], int] = {}
 
-        def held(at: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-            """Merges what has come together; what is left of it stays."""
-            rows_ = np.concatenate(got[at])
+        def merge(at: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+            """Merges the copies of what has come together."""
+            e = np.concatenate(got.pop(at))
             if at[1] == -1:
-                lead, gone = _first_of(rows_, "s1", "s2")
+                lead, gone = _leaders(e)
                 if len(gone):
-                    yield _equal(_places_of(rows_[gone]))
+                    yield _equal(e[gone])
             else:
-                lead, _ = _first_of(rows_, "word", "sig", "pos")
-            got[at], size[at] = [rows_[lead]], 0
+                lead = _merged(e)
+            got[at], size[at] = [e[lead]], 0
 
         for b in batches:
             for part, kind, block in zip(*(c.to_pylist() for c in b.columns)):
@@ -466,14 +513,14 @@ def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
                     continue
                 at = (part, kind)
                 got.setdefault(at, []).append(unpacked(block, _SIGNED if kind == -1 else _entry(CLASSES[kind][1])))
-                size[at] = size.get(at, 0) + len(block)
+                size[at] = size.get(at, 0) + got[at][-1].nbytes
                 if size[at] > compact:
-                    yield from held(at)
+                    yield from merge(at)
         for at in sorted(got):
-            yield from held(at)
+            yield from merge(at)
             (e,), (part, kind) = got.pop(at), at
             if kind >= 0:
-                y, x, apart, more = closest(e, (CLASSES[kind - 1][0] if kind else 0) + 1, t, enough)
+                y, x, apart, more = closest(e, (CLASSES[kind - 1][0] if kind else 0) + 1, t, enough, keep)
                 if len(y):
                     yield _near(e, part, y, x, apart, more)
 
@@ -493,17 +540,19 @@ def _filter(cells: DataFrame):
 
 
 def _bodies(rows: DataFrame, wanted) -> DataFrame:
-    """(doc, crc, line, body): the texts of the wanted lines and, as their filter is a hashed one, some others."""
+    """(doc, line, sig, crc, body): the texts of the wanted lines and, as their filter is a hashed one, some others."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
-            doc, number, flat = _split(texts)
-            place = _places(ids, texts, doc, number)
+            place, flat = _lines_of(ids, texts)
             some = np.flatnonzero(_in(wanted.value, _cell(place)))
-            if len(some):
-                yield _record([*_KEY, "body"], [*_place_cols(place[some]), flat.take(pa.array(some))])
+            lines = Lines(place[some], body := flat.take(pa.array(some)), np.zeros(COUNTERS, np.uint8))
+            if len(lines):
+                body = body.filter(pa.array(lines.own))
+                p = lines.place
+                yield _record([*_Y, "crc", "body"], [*(pa.array(x.astype(np.int64)) for x in (p["doc"], p["line"], lines.signatures()[0].view(np.int64), np.ascontiguousarray(p["crc"]).view(np.int64))), body])
 
-    return rows.mapInArrow(emit, "doc long, crc long, line long, body string").dropDuplicates(list(_KEY))
+    return rows.mapInArrow(emit, "doc long, line long, sig long, crc long, body string").dropDuplicates([*_Y, "crc"])
 
 
 def alike(a: str, b: str, t: float) -> bool:
@@ -513,13 +562,11 @@ def alike(a: str, b: str, t: float) -> bool:
     return both >= t * (len(p) + len(q) - both) - 1e-9
 
 
-_PAIR = ("doc", "crc", "line", "x_doc", "x_crc", "x_line")
-
-
 def _verified(pairs: DataFrame, bodies: DataFrame, t: float) -> DataFrame:
     """The pairs whose similarity is t or more."""
-    x = bodies.select(*(F.col(k).alias(f"x_{k}") for k in _KEY), F.col("body").alias("x_body"))
-    both = pairs.join(x, [f"x_{k}" for k in _KEY]).join(bodies, list(_KEY)).select(*_PAIR, "x_body", "body")
+    one = bodies.groupBy(*_Y).agg(F.first("body").alias("body"))
+    x = one.select(*(F.col(k).alias(f"x_{k}") for k in _Y), F.col("body").alias("x_body"))
+    both = pairs.join(x, list(_X)).join(one, list(_Y)).select(*_PAIR, "x_body", "body")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -529,7 +576,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, t: float) -> DataFrame:
     return both.mapInArrow(verify, ", ".join(f"{c} long" for c in _PAIR))
 
 
-_BODY = np.dtype([("word", "<u4"), ("sig", "<u8"), *_LINE.descr, ("open", "<u1"), ("n", "<u4")])
+_BODY = np.dtype([("word", "<u4"), ("sig", "<u8"), *_AT.descr, ("open", "<u1"), ("n", "<u4")])
 
 
 def first_match(e: np.ndarray, words: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -559,20 +606,38 @@ def first_match(e: np.ndarray, words: list[np.ndarray], t: float) -> tuple[np.nd
     return np.array(ys, np.int64), np.array(xs, np.int64)
 
 
-def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_words) -> DataFrame:
-    """Pairs (later, earlier) that match, for lines in one filter, at the words in another; compared on whole sets of words."""
+def _having(flat: pa.Array, levels: np.ndarray, parts: int, hot_word: int, open_words: np.ndarray) -> np.ndarray:
+    """Indices of the lines that hold a word which, not being hot, has one of the keys looked for."""
+    words = pc.ascii_split_whitespace(flat)
+    d = words.flatten().dictionary_encode()
+    known = hash_of(d.dictionary)
+    wanted = np.zeros(len(known), bool)
+    for kind in range(len(CLASSES)):
+        key = word_key(known, kind)
+        wanted |= _in(open_words, _word_cell(key >> np.uint64(32), (key % np.uint64(parts)).astype(np.int64)))
+    wanted &= levels[_counter(known)] <= level(hot_word)
+    per_line = np.diff(words.offsets.to_numpy())
+    return np.unique(np.repeat(np.arange(len(per_line)), per_line)[wanted[d.indices.to_numpy(zero_copy_only=False)]])
+
+
+def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_words, hot: bool) -> DataFrame:
+    """Pairs (later, earlier) that match, for lines in one filter, at the words in another (hot ones among them or not); compared on whole sets of words."""
     hot_word, compact = HOT_WORD, COMPACT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
-            lines = Lines(ids, texts, levels.value)
+            place, flat = _lines_of(ids, texts)
+            if not hot:
+                some = _having(flat, levels.value, parts, hot_word, open_words.value)
+                place, flat = place[some], flat.take(pa.array(some))
+            lines = Lines(place, flat, levels.value)
             s1, s2 = lines.signatures()
             signed = np.zeros(len(lines), _SIGNED)
             signed["s1"], signed["s2"] = s1, s2
             for f in _LINE.names:
                 signed[f] = lines.place[f]
             mine = np.zeros(len(lines), bool)
-            mine[_first_of(signed, "s1", "s2")[0]] = True
+            mine[_leaders(signed)[0]] = True
             wanted = _in(open_lines.value, _cell(lines.place))
             for kind, some in _classes(lines.n, t):
                 of, key, _ = lines.keys(some & mine, s1, kind, t, hot_word)
@@ -583,7 +648,7 @@ def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_wor
                     k = np.flatnonzero(part == p)
                     e = np.zeros(len(k), _BODY)
                     e["word"], e["sig"], e["open"], e["n"] = word[k], s1[of[k]], wanted[of[k]], lines.n[of[k]]
-                    for f in _LINE.names:
+                    for f in _AT.names:
                         e[f] = lines.place[f][of[k]]
                     bodies = np.concatenate([lines.hash[a : a + n] for a, n in zip(lines.start[of[k]].tolist(), lines.n[of[k]].tolist())])
                     yield _record(["part", "block", "words"], [pa.array([p], pa.int32()), pa.array([packed(e)], pa.binary()), pa.array([bodies.tobytes()], pa.binary())])
@@ -591,9 +656,9 @@ def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_wor
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, tuple[np.ndarray, list[np.ndarray], int]] = {}
 
-        def merged(part: int) -> None:
+        def merge(part: int) -> None:
             e, words, _ = got[part]
-            lead, _ = _first_of(e, "word", "sig")
+            lead = _merged(e)
             got[part] = e[lead], [words[k] for k in lead.tolist()], 0
 
         for b in batches:
@@ -603,12 +668,12 @@ def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_wor
                 e_, words_, size = got.get(part, (e[:0], [], 0))
                 got[part] = np.concatenate((e_, e)), words_ + words, size + len(flat)
                 if got[part][2] > compact:
-                    merged(part)
+                    merge(part)
         for part in sorted(got):
-            merged(part)
+            merge(part)
             e, words, _ = got.pop(part)
             y, x = first_match(e, words, t)
-            yield _record(list(_PAIR), _place_cols(_places_of(e[y])) + _place_cols(_places_of(e[x])))
+            yield _record(list(_PAIR), [pa.array(e[f][at].astype(np.int64) if f != "sig" else e[f][at].view(np.int64)) for at in (y, x) for f in _Y])
 
     return rows.mapInArrow(emit, "part int, block binary, words binary").repartition(parts, "part").mapInArrow(compare, ", ".join(f"{c} long" for c in _PAIR))
 
@@ -630,18 +695,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = max(parts_for(spark), -(-n_words * 10 // PART))
     found = materialise(find(rows, levels, parts, t))
     pairs = found.filter("x_doc is not null")
-    near = pairs.select(F.explode(F.array("cell", "x_cell")).alias("cell"))
-    bodies = materialise(_bodies(rows, _filter(near)))
+    bodies = materialise(_bodies(rows, _filter(pairs.select(F.explode(F.array("cell", "x_cell")).alias("cell")))))
     # Leaders of classes are compared, so a line that equals an earlier one is never on the later side of a pair.
-    best = pairs.groupBy(*_KEY).agg(F.min(F.struct("apart", *(f"x_{k}" for k in _KEY))).alias("b")).select(*_KEY, *(F.col(f"b.x_{k}").alias(f"x_{k}") for k in _KEY))
+    best = pairs.groupBy(*_Y).agg(F.min(F.struct("apart", *_X)).alias("b")).select(*_Y, *(F.col(f"b.{k}").alias(k) for k in _X))
     matched = materialise(_verified(best, bodies, t))
-    rest = pairs.join(matched.select(*_KEY), list(_KEY), "left_anti")
+    rest = materialise(pairs.join(matched.select(*_Y), list(_Y), "left_anti"))
     more = materialise(_verified(rest.select(*_PAIR).distinct().join(best, list(_PAIR), "left_anti"), bodies, t))
     matched = matched.unionByName(more)
-    left = materialise(rest.filter("more").join(more.select(*_KEY).distinct(), list(_KEY), "left_anti").select("cell", "at").distinct())
-    if not left.isEmpty():
-        matched = matched.unionByName(materialise(find_all(rows, levels, parts, t, _filter(left), _filter(left.select(F.col("at").alias("cell"))))))
-    out = matched.groupBy(*_KEY).agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select(*_KEY, F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"))
+    left = materialise(rest.filter("more").join(more.select(*_Y).distinct(), list(_Y), "left_anti").select("cell", "at", "hot").distinct())
+    hot = left.agg(F.max("hot")).first()[0]
+    if hot is not None:
+        matched = matched.unionByName(materialise(find_all(rows, levels, parts, t, _filter(left), _filter(left.select(F.col("at").alias("cell"))), hot)))
+    first = matched.groupBy(*_Y).agg(F.min(F.struct("x_doc", "x_line")).alias("x"))
+    out = bodies.select(*_KEY, "sig").join(first, list(_Y)).select(*_KEY, F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"))
     none = F.lit(None).cast("long")
     return out.unionByName(found.filter("x_doc is null").select(*_KEY, none.alias("x_doc"), none.alias("x_line")))
 
