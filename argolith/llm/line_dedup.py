@@ -16,10 +16,10 @@ matches a line that comes earlier in the order of (doc_id, line number).
    whose number of differences is at most the sets' difference. All of these keep
    every match.
 3. A line needs one earlier match only, so where lines meet each reports the KEEP
-   closest of the first ENOUGH candidates it finds, and whether it saw more. The
-   closest is verified on the lines' texts, then what else was reported. For lines that
-   find no match so, though there were more candidates, the lines that they meet are
-   compared on whole sets of words (64-bit hashes), all of them.
+   closest of the first ENOUGH candidates it finds, and whether it saw more. These are
+   verified on the lines' texts. For lines that find no match so, though there were
+   more candidates, the lines that they meet are compared on whole sets of words
+   (64-bit hashes), all of them.
 
 Data of these steps move in packed blocks, so that shuffling costs no work for each
 row; the number of parts follows from the number of words. Copies of a class are
@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from argolith.session import ship
 
-from .common import aside, materialise, parts_for, table
+from .common import aside, materialise, parts_for, sliced_by_size, table
 
 SIMILARITY = 0.8
 COUNTERS = 1 << 22
@@ -60,9 +60,9 @@ LONG_WORD = 64
 #: Lines that share a word and are compared in one task.
 HOT_WORD = 50_000
 #: Candidates among which a line looks for its closest at a word, and how many of these it reports.
-ENOUGH, KEEP = 16, 4
+ENOUGH, KEEP = 16, 2
 #: Bytes of a part that are expected, and after which copies in it are merged.
-PART, COMPACT = 16_000_000, 64_000_000
+PART, COMPACT = 32_000_000, 64_000_000
 #: Bits of the filters for lines and words that are looked for again.
 FILTER_BITS = 1 << 25
 #: Largest number of words and number of parity bits, by class of length.
@@ -70,6 +70,7 @@ CLASSES = ((64, 64), (160, 128), (352, 256), (768, 512), (1 << 31, 1024))
 #: Lines of so many words at most have their hot words paired.
 PAIRED = 352
 _CHUNKS = 16
+_AT_ONCE = 1 << 15
 #: Steps of the logarithm of a count.
 _STEPS = 5
 _AT = np.dtype([("doc", "<i8"), ("line", "<u4")])
@@ -116,16 +117,10 @@ def deal(rows: np.ndarray, to: np.ndarray, parts: int) -> Iterator[tuple[int, by
             yield p, packed(rows[a:b])
 
 
-def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """(ids, texts) of slices of so many characters, or one document."""
-    for b in batches:
-        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + chars, "right")))
-            part = b.slice(at, end - at)
-            yield part.column(0).to_numpy(zero_copy_only=False), part.column(1)
-            at = end
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(ids, texts) of slices of documents."""
+    for part in sliced_by_size(batches, 1, SLICE_CHARS):
+        yield part.column(0).to_numpy(zero_copy_only=False), part.column(1)
 
 
 def hash_of(words: pa.Array) -> np.ndarray:
@@ -418,29 +413,45 @@ def closest(e: np.ndarray, shortest: int, t: float, enough: int, keep: int) -> t
     n, pos, doc, line = (e[f][own].astype(np.int64) for f in ("n", "pos", "doc", "line"))
     bits = np.ascontiguousarray(e["bits"][own])
     best, seen = np.full((keep, len(own)), np.iinfo(np.int64).max), np.zeros(len(own), np.int64)
+
+    def insert(b: np.ndarray, got: np.ndarray) -> None:
+        """Each b at most once."""
+        for k in range(keep):
+            best[k, b], got = np.minimum(best[k, b], got), np.maximum(best[k, b], got)
+
     for way in (-1, 1):
         y, lag = np.arange(len(own)), 1
-        while True:
-            x = y + way * lag
-            ok = ((x >= begin[y]) if way < 0 else (x < end[y])) & (seen[y] < enough)
-            y, x = y[ok], x[ok]
-            near = n[x] >= t * n[y] - 1e-9 if way < 0 else n[y] >= t * n[x] - 1e-9
-            y, x = y[near], x[near]
-            if not len(y):
-                break
-            ok = (doc[x] < doc[y]) | (doc[x] == doc[y]) & (line[x] < line[y])
-            a, b = x[ok], y[ok]
+        while len(y):
+            # Few lines that are left look at many others at once.
+            step = max(1, _AT_ONCE // len(y))
+            b = np.repeat(y, step)
+            a = b + way * np.tile(np.arange(lag, lag + step), len(y))
+            ok = a >= begin[b] if way < 0 else a < end[b]
+            a = np.where(ok, a, b)
+            ok &= n[a] >= t * n[b] - 1e-9 if way < 0 else n[b] >= t * n[a] - 1e-9
+            on = ok[step - 1 :: step]
+            ok &= (doc[a] < doc[b]) | (doc[a] == doc[b]) & (line[a] < line[b])
+            a, b = a[ok], b[ok]
             need = np.ceil(t / (1 + t) * (n[a] + n[b]) - 1e-9).astype(np.int64)
             ok = (np.maximum(n[a], n[b]) >= shortest) & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
             a, b, need = a[ok], b[ok], need[ok]
             apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
             ok = apart <= n[a] + n[b] - 2 * need
-            a, b, apart = a[ok], b[ok], apart[ok]  # each b once, at a lag
-            got = (apart << 40) | a
-            for k in range(keep):
-                best[k, b], got = np.minimum(best[k, b], got), np.maximum(best[k, b], got)
-            seen[b] += 1
-            lag += 1
+            b, got = b[ok], (apart[ok] << 40) | a[ok]
+            if step == 1:
+                seen[b] += 1
+                insert(b, got)
+            elif len(b):
+                order = np.lexsort((got, b))
+                b, got = b[order], got[order]
+                first = np.flatnonzero(np.diff(b, prepend=-1))
+                many = np.diff(np.concatenate((first, [len(b)])))
+                seen[b[first]] += many
+                place = np.arange(len(b)) - np.repeat(first, many)
+                for k in range(keep):
+                    insert(b[place == k], got[place == k])
+            y = y[on & (seen[y] < enough)]
+            lag += step
     k, y = np.nonzero(np.arange(keep)[:, None] < seen)
     got = best[k, y]
     return own[y], own[got & ((1 << 40) - 1)], got >> 40, (seen > min(keep, enough - 1))[y]
@@ -449,9 +460,9 @@ def closest(e: np.ndarray, shortest: int, t: float, enough: int, keep: int) -> t
 _KEY, _Y = ("doc", "crc", "line"), ("doc", "line", "sig")
 _X = tuple(f"x_{k}" for k in _Y)
 _PAIR = (*_Y, *_X)
-_FOUND = "doc long, line long, sig long, x_doc long, x_line long, x_sig long, crc long, apart int, more boolean, cell int, x_cell int, at int, hot boolean"
+_FOUND = "doc long, line long, sig long, x_doc long, x_line long, x_sig long, crc long, more boolean, cell int, x_cell int"
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
-_FOUND_TYPES = [pa.int64()] * 7 + [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+_FOUND_TYPES = [pa.int64()] * 7 + [pa.bool_(), pa.int32(), pa.int32()]
 
 
 def _found(n: int, **cols: np.ndarray) -> pa.RecordBatch:
@@ -462,27 +473,21 @@ def _equal(place: np.ndarray) -> pa.RecordBatch:
     return _found(len(place), doc=place["doc"], line=place["line"], crc=place["crc"])
 
 
-def _near(e: np.ndarray, part: int, y: np.ndarray, x: np.ndarray, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-    """A pair that meets at several words of a part is told once, but for the words at which there were more."""
+def _near(e: np.ndarray, y: np.ndarray, x: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """A pair that meets at several words of a part is told once."""
     order = np.lexsort((~more, e["sig"][x], e["sig"][y]))
-    y, x, apart, more = y[order], x[order], apart[order], more[order]
-    again = np.zeros(len(y), bool)
-    again[1:] = (e["sig"][y][1:] == e["sig"][y][:-1]) & (e["sig"][x][1:] == e["sig"][x][:-1])
-    # The words are told with one of the pairs of a line.
-    told = np.zeros(len(y), bool)
-    _, first = np.unique(np.stack((e["sig"][y], e["word"][y].astype(np.uint64))), axis=1, return_index=True) if more.any() else (None, [])
-    told[first] = True
-    keep = ~again | more & told
-    y, x, apart, more = y[keep], x[keep], apart[keep], more[keep]
-    later, earlier, word = e[y], e[x], e["word"][y]
+    y, x, more = y[order], x[order], more[order]
+    new = np.ones(len(y), bool)
+    new[1:] = (e["sig"][y][1:] != e["sig"][y][:-1]) | (e["sig"][x][1:] != e["sig"][x][:-1])
+    later, earlier, more = e[y[new]], e[x[new]], more[new]
     return _found(
-        len(y), doc=later["doc"], line=later["line"], sig=later["sig"].view(np.int64), x_doc=earlier["doc"], x_line=earlier["line"], x_sig=earlier["sig"].view(np.int64),
-        apart=apart.astype(np.int32), more=more, cell=_cell(later).astype(np.int32), x_cell=_cell(earlier).astype(np.int32), at=_word_cell(word, part).astype(np.int32), hot=(word & 1).astype(bool),
+        len(later), doc=later["doc"], line=later["line"], sig=later["sig"].view(np.int64), x_doc=earlier["doc"], x_line=earlier["line"], x_sig=earlier["sig"].view(np.int64),
+        more=more, cell=_cell(later).astype(np.int32), x_cell=_cell(earlier).astype(np.int32),
     )
 
 
 def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
-    """Lines that equal an earlier one (x null), and for leaders of classes the closest candidates x; cell, x_cell, at: bits of filters for the lines and the word."""
+    """Lines that equal an earlier one (x null), and for leaders of classes the closest candidates x; cell, x_cell: bits of a filter for the lines."""
     hot_word, enough, keep, compact = HOT_WORD, ENOUGH, KEEP, COMPACT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,11 +523,11 @@ def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
                     yield from merge(at)
         for at in sorted(got):
             yield from merge(at)
-            (e,), (part, kind) = got.pop(at), at
+            (e,), kind = got.pop(at), at[1]
             if kind >= 0:
-                y, x, apart, more = closest(e, (CLASSES[kind - 1][0] if kind else 0) + 1, t, enough, keep)
+                y, x, _, more = closest(e, (CLASSES[kind - 1][0] if kind else 0) + 1, t, enough, keep)
                 if len(y):
-                    yield _near(e, part, y, x, apart, more)
+                    yield _near(e, y, x, more)
 
     return rows.mapInArrow(emit, "part int, kind int, block binary").repartition(parts, "part").mapInArrow(compare, _FOUND)
 
@@ -606,6 +611,22 @@ def first_match(e: np.ndarray, words: list[np.ndarray], t: float) -> tuple[np.nd
     return np.array(ys, np.int64), np.array(xs, np.int64)
 
 
+def _open_words(bodies: DataFrame, levels, parts: int, t: float) -> DataFrame:
+    """(cell, hot): the bits of a filter for all words under which these lines meet others; whether one has to do with hot words."""
+    hot_word = HOT_WORD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = Lines(np.zeros(b.num_rows, _LINE), b.column(0), levels.value)
+            sig = lines.signatures()[0]
+            for kind, some in _classes(lines.n, t):
+                _, key, _ = lines.keys(some, sig, kind, t, hot_word)
+                cell = _word_cell(key >> np.uint64(32), (key % np.uint64(parts)).astype(np.int64))
+                yield _record(["cell", "hot"], [pa.array(cell.astype(np.int32)), pa.array((key & _HOT) > 0)])
+
+    return bodies.select("body").mapInArrow(run, "cell int, hot boolean").distinct()
+
+
 def _having(flat: pa.Array, levels: np.ndarray, parts: int, hot_word: int, open_words: np.ndarray) -> np.ndarray:
     """Indices of the lines that hold a word which, not being hot, has one of the keys looked for."""
     words = pc.ascii_split_whitespace(flat)
@@ -694,18 +715,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # About a fifth of the words are in prefixes, at some 50 bytes each.
     parts = max(parts_for(spark), -(-n_words * 10 // PART))
     found = materialise(find(rows, levels, parts, t))
-    pairs = found.filter("x_doc is not null")
+    pairs = materialise(found.filter("x_doc is not null").groupBy(*_PAIR).agg(F.max("more").alias("more"), F.max("cell").alias("cell"), F.max("x_cell").alias("x_cell")))
     bodies = materialise(_bodies(rows, _filter(pairs.select(F.explode(F.array("cell", "x_cell")).alias("cell")))))
     # Leaders of classes are compared, so a line that equals an earlier one is never on the later side of a pair.
-    best = pairs.groupBy(*_Y).agg(F.min(F.struct("apart", *_X)).alias("b")).select(*_Y, *(F.col(f"b.{k}").alias(k) for k in _X))
-    matched = materialise(_verified(best, bodies, t))
-    rest = materialise(pairs.join(matched.select(*_Y), list(_Y), "left_anti"))
-    more = materialise(_verified(rest.select(*_PAIR).distinct().join(best, list(_PAIR), "left_anti"), bodies, t))
-    matched = matched.unionByName(more)
-    left = materialise(rest.filter("more").join(more.select(*_Y).distinct(), list(_Y), "left_anti").select("cell", "at", "hot").distinct())
-    hot = left.agg(F.max("hot")).first()[0]
-    if hot is not None:
-        matched = matched.unionByName(materialise(find_all(rows, levels, parts, t, _filter(left), _filter(left.select(F.col("at").alias("cell"))), hot)))
+    matched = materialise(_verified(pairs.select(*_PAIR), bodies, t))
+    left = materialise(pairs.filter("more").select(*_Y, "cell").join(matched.select(*_Y), list(_Y), "left_anti").distinct())
+    if not left.isEmpty():
+        words = materialise(_open_words(bodies.join(left.select(*_Y), list(_Y), "left_semi"), levels, parts, t))
+        hot = words.agg(F.max("hot")).first()[0]
+        matched = matched.unionByName(materialise(find_all(rows, levels, parts, t, _filter(left), _filter(words), bool(hot))))
     first = matched.groupBy(*_Y).agg(F.min(F.struct("x_doc", "x_line")).alias("x"))
     out = bodies.select(*_KEY, "sig").join(first, list(_Y)).select(*_KEY, F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"))
     none = F.lit(None).cast("long")
