@@ -16,10 +16,11 @@ matches a line that comes earlier in the order of (doc_id, line number).
    whose number of differences is at most the sets' difference. All of these keep
    every match.
 3. A line needs one earlier match only, so where lines meet each reports the KEEP
-   closest of the first ENOUGH candidates it finds, and whether it saw more. These are
-   verified on the lines' texts. For lines that find no match so, though there were
-   more candidates, the lines that they meet are compared on whole sets of words
-   (64-bit hashes), all of them.
+   closest of the first ENOUGH candidates it finds; the others it saw are marked. What
+   was reported is verified on the lines' texts. Lines that find no match so, though
+   there were more candidates, are compared with all lines that they meet, on whole
+   sets of words (64-bit hashes): with the marked ones, or with all of the texts where
+   ENOUGH were seen.
 
 Data of these steps move in packed blocks, so that shuffling costs no work for each
 row; the number of parts follows from the number of words. Copies of a class are
@@ -59,8 +60,8 @@ SLICE_CHARS = 4_000_000
 LONG_WORD = 64
 #: Lines that share a word and are compared in one task.
 HOT_WORD = 50_000
-#: Candidates among which a line looks for its closest at a word, and how many of these it reports.
-ENOUGH, KEEP = 16, 2
+#: Candidates after which a line stops looking for others at a word, and how many of them it reports.
+ENOUGH, KEEP = 256, 2
 #: Bytes of a part that are expected, and after which copies in it are merged.
 PART, COMPACT = 32_000_000, 64_000_000
 #: Bits of the filters for lines and words that are looked for again.
@@ -71,6 +72,7 @@ CLASSES = ((64, 64), (160, 128), (352, 256), (768, 512), (1 << 31, 1024))
 PAIRED = 352
 _CHUNKS = 16
 _AT_ONCE = 1 << 15
+_LOW = (1 << 40) - 1
 #: Steps of the logarithm of a count.
 _STEPS = 5
 _AT = np.dtype([("doc", "<i8"), ("line", "<u4")])
@@ -402,7 +404,7 @@ def _merged(e: np.ndarray) -> np.ndarray:
 
 
 def closest(e: np.ndarray, shortest: int, t: float, enough: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, distance, more): at each word, for each line the closest of the first candidates found, as indices into e; e: in the order of _merged."""
+    """(later, earlier, seen, marked): at each word, for each line the closest of the candidates found and how many there were; candidates that were not the closest. As indices into e, which is in the order of _merged."""
     word, sizes = e["word"], np.zeros(0, np.int64)
     new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(e) else sizes
     sizes = np.diff(np.concatenate((new, [len(e)])))
@@ -414,10 +416,13 @@ def closest(e: np.ndarray, shortest: int, t: float, enough: int, keep: int) -> t
     bits = np.ascontiguousarray(e["bits"][own])
     best, seen = np.full((keep, len(own)), np.iinfo(np.int64).max), np.zeros(len(own), np.int64)
 
+    none, marked = np.iinfo(np.int64).max, np.zeros(len(own), bool)
+
     def insert(b: np.ndarray, got: np.ndarray) -> None:
         """Each b at most once."""
         for k in range(keep):
             best[k, b], got = np.minimum(best[k, b], got), np.maximum(best[k, b], got)
+        marked[got[got < none] & _LOW] = True
 
     for way in (-1, 1):
         y, lag = np.arange(len(own)), 1
@@ -450,19 +455,20 @@ def closest(e: np.ndarray, shortest: int, t: float, enough: int, keep: int) -> t
                 place = np.arange(len(b)) - np.repeat(first, many)
                 for k in range(keep):
                     insert(b[place == k], got[place == k])
+                marked[got[place >= keep] & _LOW] = True
             y = y[on & (seen[y] < enough)]
             lag += step
     k, y = np.nonzero(np.arange(keep)[:, None] < seen)
     got = best[k, y]
-    return own[y], own[got & ((1 << 40) - 1)], got >> 40, (seen > min(keep, enough - 1))[y]
+    return own[y], own[got & _LOW], seen[y], own[marked]
 
 
 _KEY, _Y = ("doc", "crc", "line"), ("doc", "line", "sig")
 _X = tuple(f"x_{k}" for k in _Y)
 _PAIR = (*_Y, *_X)
-_FOUND = "doc long, line long, sig long, x_doc long, x_line long, x_sig long, crc long, more boolean, cell int, x_cell int"
+_FOUND = "doc long, line long, sig long, x_doc long, x_line long, x_sig long, crc long, seen int, cell int, x_cell int"
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
-_FOUND_TYPES = [pa.int64()] * 7 + [pa.bool_(), pa.int32(), pa.int32()]
+_FOUND_TYPES = [pa.int64()] * 7 + [pa.int32()] * 3
 
 
 def _found(n: int, **cols: np.ndarray) -> pa.RecordBatch:
@@ -473,21 +479,21 @@ def _equal(place: np.ndarray) -> pa.RecordBatch:
     return _found(len(place), doc=place["doc"], line=place["line"], crc=place["crc"])
 
 
-def _near(e: np.ndarray, y: np.ndarray, x: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-    """A pair that meets at several words of a part is told once."""
-    order = np.lexsort((~more, e["sig"][x], e["sig"][y]))
-    y, x, more = y[order], x[order], more[order]
+def _near(e: np.ndarray, y: np.ndarray, x: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    """A pair that meets at several words of a part is told once, with the most candidates that its line has seen."""
+    order = np.lexsort((-seen, e["sig"][x], e["sig"][y]))
+    y, x, seen = y[order], x[order], seen[order]
     new = np.ones(len(y), bool)
     new[1:] = (e["sig"][y][1:] != e["sig"][y][:-1]) | (e["sig"][x][1:] != e["sig"][x][:-1])
-    later, earlier, more = e[y[new]], e[x[new]], more[new]
+    later, earlier, seen = e[y[new]], e[x[new]], seen[new]
     return _found(
         len(later), doc=later["doc"], line=later["line"], sig=later["sig"].view(np.int64), x_doc=earlier["doc"], x_line=earlier["line"], x_sig=earlier["sig"].view(np.int64),
-        more=more, cell=_cell(later).astype(np.int32), x_cell=_cell(earlier).astype(np.int32),
+        seen=seen.astype(np.int32), cell=_cell(later).astype(np.int32), x_cell=_cell(earlier).astype(np.int32),
     )
 
 
 def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
-    """Lines that equal an earlier one (x null), and for leaders of classes the closest candidates x; cell, x_cell: bits of a filter for the lines."""
+    """Lines that equal an earlier one (x null), and for leaders of classes the closest candidates x; cell, x_cell: bits of a filter for the lines; x_cell alone: of marked lines."""
     hot_word, enough, keep, compact = HOT_WORD, ENOUGH, KEEP, COMPACT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,9 +531,12 @@ def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
             yield from merge(at)
             (e,), kind = got.pop(at), at[1]
             if kind >= 0:
-                y, x, _, more = closest(e, (CLASSES[kind - 1][0] if kind else 0) + 1, t, enough, keep)
+                y, x, seen, marked = closest(e, (CLASSES[kind - 1][0] if kind else 0) + 1, t, enough, keep)
                 if len(y):
-                    yield _near(e, y, x, more)
+                    yield _near(e, y, x, seen)
+                if len(marked):
+                    cells = np.unique(_cell(e[marked])).astype(np.int32)
+                    yield _found(len(cells), x_cell=cells)
 
     return rows.mapInArrow(emit, "part int, kind int, block binary").repartition(parts, "part").mapInArrow(compare, _FOUND)
 
@@ -641,13 +650,23 @@ def _having(flat: pa.Array, levels: np.ndarray, parts: int, hot_word: int, open_
     return np.unique(np.repeat(np.arange(len(per_line)), per_line)[wanted[d.indices.to_numpy(zero_copy_only=False)]])
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(places, texts) of lines, from rows of (id, text) or (doc, crc, line, body)."""
+    for b in batches:
+        if b.num_columns == 2:
+            yield from (_lines_of(ids, texts) for ids, texts in slices([b]))
+        else:
+            place = np.zeros(b.num_rows, _LINE)
+            place["doc"], place["crc"], place["line"] = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+            yield place, b.column(3)
+
+
 def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_words, hot: bool) -> DataFrame:
     """Pairs (later, earlier) that match, for lines in one filter, at the words in another (hot ones among them or not); compared on whole sets of words."""
     hot_word, compact = HOT_WORD, COMPACT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
-            place, flat = _lines_of(ids, texts)
+        for place, flat in _placed(batches):
             if not hot:
                 some = _having(flat, levels.value, parts, hot_word, open_words.value)
                 place, flat = place[some], flat.take(pa.array(some))
@@ -715,19 +734,23 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # About a fifth of the words are in prefixes, at some 50 bytes each.
     parts = max(parts_for(spark), -(-n_words * 10 // PART))
     found = materialise(find(rows, levels, parts, t))
-    pairs = materialise(found.filter("x_doc is not null").groupBy(*_PAIR).agg(F.max("more").alias("more"), F.max("cell").alias("cell"), F.max("x_cell").alias("x_cell")))
-    bodies = materialise(_bodies(rows, _filter(pairs.select(F.explode(F.array("cell", "x_cell")).alias("cell")))))
+    pairs = materialise(found.filter("x_doc is not null").groupBy(*_PAIR).agg(F.max("seen").alias("seen"), F.max("cell").alias("cell"), F.max("x_cell").alias("x_cell")))
+    wanted = pairs.select(F.explode(F.array("cell", "x_cell")).alias("cell")).unionByName(found.filter("doc is null").select(F.col("x_cell").alias("cell")))
+    bodies = materialise(_bodies(rows, _filter(wanted)))
     # Leaders of classes are compared, so a line that equals an earlier one is never on the later side of a pair.
     matched = materialise(_verified(pairs.select(*_PAIR), bodies, t))
-    left = materialise(pairs.filter("more").select(*_Y, "cell").join(matched.select(*_Y), list(_Y), "left_anti").distinct())
-    if not left.isEmpty():
+    left = materialise(pairs.filter(F.col("seen") >= min(KEEP + 1, ENOUGH)).select(*_Y, "cell", "seen").join(matched.select(*_Y), list(_Y), "left_anti").groupBy(*_Y, "cell").agg(F.max("seen").alias("seen")))
+    most = left.agg(F.max("seen")).first()[0]
+    if most is not None:
         words = materialise(_open_words(bodies.join(left.select(*_Y), list(_Y), "left_semi"), levels, parts, t))
-        hot = words.agg(F.max("hot")).first()[0]
-        matched = matched.unionByName(materialise(find_all(rows, levels, parts, t, _filter(left), _filter(words), bool(hot))))
+        hot = bool(words.agg(F.max("hot")).first()[0])
+        # Lines that have stopped looking have marked some only.
+        where = rows if most >= ENOUGH else bodies.select("doc", "crc", "line", "body")
+        matched = matched.unionByName(materialise(find_all(where, levels, parts, t, _filter(left), _filter(words), hot)))
     first = matched.groupBy(*_Y).agg(F.min(F.struct("x_doc", "x_line")).alias("x"))
     out = bodies.select(*_KEY, "sig").join(first, list(_Y)).select(*_KEY, F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"))
     none = F.lit(None).cast("long")
-    return out.unionByName(found.filter("x_doc is null").select(*_KEY, none.alias("x_doc"), none.alias("x_line")))
+    return out.unionByName(found.filter("x_doc is null and doc is not null").select(*_KEY, none.alias("x_doc"), none.alias("x_line")))
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:

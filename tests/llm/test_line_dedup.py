@@ -60,9 +60,11 @@ def test_hot_words_and_few_candidates(spark, monkeypatch, hot, enough):
     assert sorted((r.doc_id, r.text) for r in dedup(df).collect()) == kept(rows)
 
 
-def test_close_but_unlike_lines_stay(spark, monkeypatch):
-    """Lines with many candidates that fail: their matches are found by comparing with all."""
-    monkeypatch.setattr(line_dedup, "ENOUGH", 1)
+@pytest.mark.parametrize("enough", [1, 256])
+def test_close_but_unlike_lines_stay(spark, monkeypatch, enough):
+    """Lines with many candidates that fail: their matches are found by comparing with all, or with the marked ones."""
+    monkeypatch.setattr(line_dedup, "ENOUGH", enough)
+    monkeypatch.setattr(line_dedup, "KEEP", 1)
     seen = []
     whole = line_dedup.find_all
     monkeypatch.setattr(line_dedup, "find_all", lambda *a: seen.append(1) or whole(*a))
@@ -105,10 +107,10 @@ def test_many_lines_of_one_template_stay_small():
     e["sig"], e["doc"], e["n"] = np.arange(n), np.arange(n), size
     e["bits"][:, 0] = np.uint64(1) << (np.arange(n) % 64).astype(np.uint64)
     tracemalloc.start()
-    y, x, _, more = line_dedup.closest(e, 1, 0.8, line_dedup.ENOUGH, line_dedup.KEEP)
+    y, x, seen, marked = line_dedup.closest(e, 1, 0.8, 16, line_dedup.KEEP)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(set(y.tolist())) == n - 1 and (x < y).all() and more[y > 16].all() and peak < 50e6
+    assert len(set(y.tolist())) == n - 1 and (x < y).all() and (seen[y > 16] >= 16).all() and len(marked) and peak < 50e6
 
 
 def test_empty_table(spark):
