@@ -61,7 +61,7 @@ LONG_WORD = 64
 #: Lines that share a word and are compared in one task.
 HOT_WORD = 50_000
 #: Candidates after which a line stops looking for others at a word, and how many of them it reports.
-ENOUGH, KEEP = 256, 2
+ENOUGH, KEEP = 4_096, 2
 #: Bytes of a part that are expected, and after which copies in it are merged.
 PART, COMPACT = 32_000_000, 64_000_000
 #: Bits of the filters for lines and words that are looked for again.
