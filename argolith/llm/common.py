@@ -49,6 +49,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
         for part in sliced(batches):
             yield f(part)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -17,6 +17,7 @@ are packed as often as they occur; null ids are kept; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import sliced, table
+from .common import ship, sliced_by_size, table
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -38,42 +40,54 @@ END_ID = 1
 WAITING_TOKENS = 1_000_000
 #: Sequences of a step group, and of the tokens each group should hold.
 STEP_SEQUENCES = 8
-#: Words that a worker remembers.
+#: Characters of a slice of documents, so that each distinct word of many is looked up once.
+SLICE_CHARS = 4_000_000
+#: Words and parts of words that a worker remembers.
 CACHE_WORDS = 1_000_000
-WORDS_AT_ONCE = 1_000
+PARTS_AT_ONCE = 1_000
 
 
 class WordTokenizer:
     """Same ids as the tokenizer file, remembering those of each word between white space.
 
     White space ends every token, so words are encoded apart from each other, and each distinct word
-    of a slice once. That is done for texts in Latin script, which composition leaves alone; any other
-    text goes to the library whole.
+    of a slice once; a new word is split as the tokenizer's own pattern splits it, and the ids of its
+    parts are remembered too. That is done for texts in Latin script, which composition leaves alone;
+    any other text, and any that holds a special token's string, goes to the library whole.
     """
 
     # Beyond Latin letters and common punctuation, or treated differently by the functions used here.
-    _beyond = re.compile(r"[^\x00-\u024f\u2010-\u2027\u20ac]")
-    _odd = re.compile(r"[\x1c-\x1f\x85\u0130]")
+    _beyond = r"[^\x00-\u024f\u2010-\u2027\u20ac]|[\x1c-\x1f\x85\u0130]"
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+        (pattern,) = (x["pattern"]["Regex"] for x in spec["pretokenizers"] if x["type"] == "Split")
+        self.split = regex.compile(pattern).findall
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([self._beyond, *special]))
         self.words: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words, which are encoded as one text and told apart by their places in it."""
-        found = {}
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at : at + WORDS_AT_ONCE]
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """The ids of words. Parts not seen before are encoded as one text and told apart by their places in it."""
+        split = [self.split(w) for w in words]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        known = self.parts
+        new = list({p for ps in split for p in ps if p not in known})
+        for at in range(0, len(new), PARTS_AT_ONCE):
+            some = new[at : at + PARTS_AT_ONCE]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.asarray(e.ids, "<u4")
             begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
-            word_begins = np.cumsum([0, *(len(w) + 1 for w in some)])
-            cuts = np.searchsorted(begins, word_begins)
-            found |= {w: ids[a:b].tobytes() for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist())}
-        return found
+            part_begins = np.cumsum([0, *(len(p) + 1 for p in some)])
+            cuts = np.searchsorted(begins, part_begins)
+            known.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()))
+        get = known.__getitem__
+        self.words.update((w, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for w, ps in zip(words, split))
 
-    def _whole(self, text: str) -> bytes:
+    def _alone(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -81,7 +95,7 @@ class WordTokenizer:
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         plain = texts.to_pylist()
-        odd = [i for i, x in enumerate(plain) if self._beyond.search(x) or self._odd.search(x)]
+        odd = [i for i, x in enumerate(plain) if self.whole.search(x)]
         if odd:
             easy = [x for x in plain]
             for i in odd:
@@ -89,12 +103,12 @@ class WordTokenizer:
             texts = pa.array(easy, pa.string())
         words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
         distinct = words.flatten().dictionary_encode()
-        here, known = distinct.dictionary.to_pylist(), self.words
-        new = self._learn([w for w in here if w not in known])
-        known.update(new)
-        ids = [known[w] for w in here]
-        if len(known) > CACHE_WORDS:
+        here = distinct.dictionary.to_pylist()
+        if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
+        known = self.words
+        self._learn([w for w in here if w not in known])
+        ids = list(map(known.__getitem__, here))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         start = np.cumsum(size) - size
         code = distinct.indices.to_numpy(zero_copy_only=False)
@@ -103,9 +117,9 @@ class WordTokenizer:
         at = np.repeat(start[code] - upto[:-1], per_word) + np.arange(upto[-1])
         flat = np.frombuffer(b"".join(ids), "<u4")[at]
         ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        out = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        out = [flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         for i in odd:
-            out[i] = self._whole(plain[i])
+            out[i] = self._alone(plain[i])
         return out
 
 
@@ -210,8 +224,9 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, e
     step_group: groups of sequences whose sums of tokens are nearly equal (a group takes longer windows and
     shorter ones in turn, each sequence going to the open group with the fewest tokens).
     """
+    ship(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +256,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, e
                 types = [id_type, *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["id", *_NAMES])
 
-        for part in sliced(batches):
+        for part in sliced_by_size(batches, 1, SLICE_CHARS):
             id_type = part.schema.field(0).type
             for doc, ids in zip(part.column(0).to_pylist(), t.encode_all(part.column(1))):
                 packer.add(doc, ids + end)
