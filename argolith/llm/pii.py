@@ -14,15 +14,18 @@ null ids are kept, other columns are ignored by ``find`` and kept by ``mask``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import aside, table
 
 #: Code points before a span that are searched for context words.
 CONTEXT_CHARS = 40
+#: Matches that are placed one after the other; the work is in proportion to matches times BLOCK.
+BLOCK = 64
 THRESHOLD = 0.5
 
 
@@ -88,26 +91,51 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step)
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _blocks(xs: Column) -> Column:
+    """An array cut into arrays of BLOCK."""
+    at = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(xs) > 0, F.transform(at, lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(xs), 1, 0))
+
+
+def _before(xs: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What the numbers before each come to, from 0 on."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(xs, start, lambda a, x: F.struct(add(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+
 def _spans(text: Column, kind: Kind) -> Column:
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
-    # (match, start) of each match in turn: what lies between them and the matches themselves add up.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out"))
+    # Matches with what lies before each; lengths add up to places. As arrays that grow cost their size at each
+    # step, and substrings their distance from the start, matches are handled in blocks.
+    def placed(block: Column, at: Column) -> Column:
+        tail = text.substr(F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
+        start = F.struct(at.alias("at"), tail.alias("tail"), F.array().cast("array<struct<m:string,start:int,end:int,near:string>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        frm = a["at"] + F.length(x["b"])
-        to = frm + F.length(x["m"])
-        return F.struct(to.alias("at"), F.array_append(a["out"], F.struct(x["m"].alias("m"), frm.alias("start"), to.alias("end"))).alias("out"))
+        def step(a: Column, x: Column) -> Column:
+            frm = a["at"] + F.length(x["b"])
+            to = frm + F.length(x["m"])
+            near = F.right(F.concat(a["tail"], x["b"]), F.lit(CONTEXT_CHARS))
+            span = F.struct(x["m"].alias("m"), frm.alias("start"), to.alias("end"), near.alias("near"))
+            return F.struct(to.alias("at"), F.right(F.concat(near, x["m"]), F.lit(CONTEXT_CHARS)).alias("tail"), F.array_append(a["out"], span).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    spans = F.aggregate(pairs, start, step, lambda a: a["out"])
+        return F.aggregate(block, start, step, lambda a: a["out"])
+
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda a, x: a + F.length(x["b"]) + F.length(x["m"]))
+
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    between = F.split(text, kind.pattern, -1)
+    pairs = _let(found, lambda f: F.zip_with(f, F.slice(between, 1, F.size(f)), lambda m, b: F.struct(m.alias("m"), b.alias("b"))))
+    spans = _let(pairs, lambda p: _let(_blocks(p), lambda bs: F.flatten(F.zip_with(bs, _before(F.transform(bs, length), lambda a, x: a + x), placed))))
     if _valid(kind.name, F.lit("")) is not None:
         spans = F.filter(spans, lambda s: F.coalesce(_valid(kind.name, s["m"]), F.lit(False)))
 
     def scored(s: Column) -> Column:
-        frm = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = text.substr(frm + 1, s["start"] - frm).rlike(kind.context)
-        score = F.when(near, F.least(F.lit(1.0), F.lit(kind.score + 0.3))).otherwise(F.lit(kind.score))
+        score = F.when(s["near"].rlike(kind.context), F.least(F.lit(1.0), F.lit(kind.score + 0.3))).otherwise(F.lit(kind.score))
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
     out = F.transform(spans, scored)
@@ -125,32 +153,67 @@ def spans_of(text: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pii: array of spans with scores) for each row."""
-    return docs.select(id_col, spans_of(F.col(text_col)).alias("pii"))
+    return docs.select(F.col(f"`{id_col}`"), spans_of(F.col(f"`{text_col}`")).alias("pii"))
+
+
+def merged(spans: Column) -> Column:
+    """Stretches (start, end, kind) that spans cover, in order; of overlapping spans, the one that starts first (then the longest) names theirs."""
+
+    def ahead(block: Column, to: Column) -> Column:
+        start = F.struct(to.alias("to"), F.array().cast("array<struct<start:int,end:int,kind:string,before:int>>").alias("out"))
+
+        def step(a: Column, s: Column) -> Column:
+            end = -s["less"]
+            own = F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"), a["to"].alias("before"))
+            return F.struct(F.greatest(a["to"], end).alias("to"), F.array_append(a["out"], own).alias("out"))
+
+        return F.aggregate(block, start, step, lambda a: a["out"])
+
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+
+    def joined_up(seen: Column) -> Column:
+        last = F.array_max(F.transform(seen, lambda s: s["end"]))
+
+        def ends(fresh: Column) -> Column:
+            to = F.concat(F.slice(F.transform(fresh, lambda s: s["before"]), 2, F.size(fresh)), F.array(last))
+            return F.zip_with(fresh, to, lambda s, e: F.struct(s["start"].alias("start"), e.alias("end"), s["kind"].alias("kind")))
+
+        # A span that starts where all before it have ended opens a stretch; what they reached is the end of the one before.
+        return _let(F.filter(seen, lambda s: s["start"] >= s["before"]), ends)
+
+    def far(block: Column) -> Column:
+        return F.array_max(F.transform(block, lambda s: -s["less"]))
+
+    seen = _let(_blocks_of(order), lambda bs: F.flatten(F.zip_with(bs, _before(F.transform(bs, far), lambda a, x: F.greatest(a, x)), ahead)))
+    return _let(seen, joined_up)
+
+
+def _blocks_of(xs: Column) -> Column:
+    return _let(xs, _blocks)
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span replaced by its kind in brackets; of overlapping spans, the one that starts first (then the longest) names the stretch they cover."""
-    text = F.col(text_col)
-    order = F.array_sort(F.transform(F.col("__pii"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    start = F.struct(F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"), F.lit(0).alias("to"))
-
-    def merge(a: Column, s: Column) -> Column:
-        end = -s["less"]
-        last = F.element_at(a["out"], -1)
-        joined = F.array_append(F.slice(a["out"], 1, F.size(a["out"]) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), last["kind"].alias("kind")))
-        fresh = F.array_append(a["out"], F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind")))
-        return F.struct(F.when(s["start"] < a["to"], joined).otherwise(fresh).alias("out"), F.greatest(a["to"], end).alias("to"))
-
-    merged = F.aggregate(order, start, merge, lambda a: a["out"])
-
-    def piece(s: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("__merged"), F.greatest(i, F.lit(1)))["end"])
-        return F.concat(text.substr(before + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-
-    tail = text.substr(F.element_at(F.col("__merged"), -1)["end"] + 1, F.length(text))
-    masked = F.concat(F.concat_ws("", F.transform(F.col("__merged"), piece)), tail)
-    out = docs.withColumn("__pii", spans_of(text)).withColumn("__merged", F.when(F.size("__pii") > 0, merged))
-    return out.withColumn(text_col, F.when(F.col("__merged").isNull(), text).otherwise(masked)).select(*docs.columns)
+    """docs with each stretch of spans replaced by its kind in brackets."""
+    found, stretches = aside(docs, "pii", "stretches")
+    text, many = F.col(f"`{text_col}`"), F.col(stretches)
+
+    def cut(block: Column, i: Column) -> Column:
+        frm = F.when(i == 0, F.lit(0)).otherwise(F.element_at(many, F.greatest(i * BLOCK, F.lit(1)))["end"])
+
+        def pieces(part: Column) -> Column:
+            def piece(s: Column, k: Column) -> Column:
+                before = F.when(k == 0, frm).otherwise(F.element_at(block, F.greatest(k, F.lit(1)))["end"])
+                return F.concat(part.substr(before - frm + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+            return F.concat_ws("", F.transform(block, piece))
+
+        return _let(text.substr(frm + 1, F.element_at(block, -1)["end"] - frm), pieces)
+
+    tail = text.substr(F.element_at(many, -1)["end"] + 1, F.length(text))
+    masked = F.concat(F.concat_ws("", F.transform(_blocks(many), cut)), tail)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.select(*own, spans_of(text).alias(found)).select(*own, F.when(F.size(found) > 0, merged(F.col(found))).alias(stretches))
+    return out.withColumn(text_col, F.when(many.isNull(), text).otherwise(masked)).select(*own)
 
 
 def joined(spans: Column) -> Column:
