@@ -7,9 +7,12 @@ regression, one language against the rest, is fitted on Nystroem landmarks. As t
 kernel is linear in the presence vector, landmarks and coefficients fold into one
 matrix, and a batch of texts is scored by one matrix product.
 
-Learning takes at most PER_LANG rows of each of the MAX_LANGS most frequent
-languages, those whose ids hash lowest; landmarks are LANDMARKS of each of them.
-Whole texts are read both in learning and in prediction.
+Learning takes at most PER_LANG rows of each language, and SAMPLE in all (but one of
+each language at least), those whose ids hash lowest; landmarks are LANDMARKS of each
+of them, MARKS in all. Rows are chosen by a bound on the hash that follows from the
+number of a language's rows, so few meet in one task. Every language that has a row
+is learned; the model has a column for each. Whole texts are read both in learning
+and in prediction.
 
 Null text or text without a letter gets ``und`` and score 0; so does every text when
 nothing could be learned. Rows come out as often as they go in; null ids are kept.
@@ -28,9 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, map_slices, table
 
-PER_LANG = 400
-MAX_LANGS = 64
-LANDMARKS = 100
+PER_LANG, SAMPLE = 400, 25_600
+LANDMARKS, MARKS = 100, 6_400
 ORDERS = 4
 #: Hashed n-grams.
 DIM = 1 << 15
@@ -68,14 +70,19 @@ def presence(text: str, dim: int = DIM) -> np.ndarray | None:
     return held if any_letter else None
 
 
-def training_rows(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> DataFrame:
-    """(lang, text) of the rows to learn from: crc32 of the id mod 4 other than 2, lang not null, a bounded number."""
-    open_ = docs.filter("lang is not null and text is not null and doc_id is not null").filter(crc32_of_id() % 4 != 2)
-    langs = open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text, h) of the rows to learn from: crc32 of the id mod 4 other than 2, lang not null, a bounded number."""
+    open_ = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null and doc_id is not null").filter(crc32_of_id() % 4 != 2)
+    counts = {r["lang"]: r["count"] for r in open_.groupBy("lang").count().collect()}  # a row for each language
+    each = max(1, min(per_lang, sample // max(len(counts), 1)))
+    # Of hashes that lie in [0, 1), twice as many rows as are wanted are expected under the bound.
+    bound = docs.sparkSession.createDataFrame([(k, min(1.0, (2 * each + 50) / n)) for k, n in counts.items()], "lang string, bound double")
+    h = F.xxhash64("doc_id")
+    some = open_.join(F.broadcast(bound), "lang").filter(h.cast("double") / 2.0**64 + 0.5 <= F.col("bound")).select("lang", "doc_id").distinct()
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = open_.join(F.broadcast(langs), "lang").select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang)
-    # At most per_lang * max_langs ids.
-    return open_.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    ids = some.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).select("lang", "doc_id")
+    # At most sample ids, or one for each language; of rows that repeat one and its language, one is taken.
+    return open_.join(F.broadcast(ids), ["lang", "doc_id"]).withColumn("h", h).groupBy("lang", "doc_id", "h").agg(F.max("text").alias("text")).select("lang", "text", "h")
 
 
 @dataclass(frozen=True)
@@ -99,9 +106,11 @@ class Model:
 
 def fit(lang: list[str], held: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     langs = tuple(sorted(set(lang)))
+    landmarks = max(1, min(landmarks, MARKS // len(langs)))
     x = held.astype(np.float32)
     x /= np.sqrt(x.sum(1, keepdims=True))
-    of = np.array([langs.index(y) for y in lang])
+    place = {y: k for k, y in enumerate(langs)}
+    of = np.array([place[y] for y in lang])
     marks = np.concatenate([np.flatnonzero(of == k)[:landmarks] for k in range(len(langs))])
     m = x[marks]
     to_marks, among = (x @ m.T).astype(float), (m @ m.T).astype(float)
