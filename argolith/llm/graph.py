@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(df: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = _with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        links = materialise(small.select("x.u", "x.v").filter("u <> v").distinct())
+        old, links = links, materialise(small.select("x.u", "x.v").filter("u <> v").distinct())
+        discard(old)
         before, state = state, _state(links)
         if before == state:
             break

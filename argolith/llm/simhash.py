@@ -12,6 +12,8 @@ more than HOT_LIST fingerprints are dealt over several tasks, each holding two b
 Rows with equal fingerprints form one class before anything is compared. Null text
 counts as empty; a text without words has fingerprint zero and is linked like any
 other. Null ids are kept and never become a component's id unless it has no other.
+Repeated rows come out as often as they go in; columns other than id and text are
+ignored, whatever their names, and kept by `keep_first`. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, parts_for, table
+from .common import aside, map_slices, materialise, parts_for, ship, table
 from .graph import components
 
 WIDTH = 4
 SEED = 42
 MAX_BITS = 4
 HOT_LIST = 50_000
+#: Entries of the index that a task gathers, about.
+PART_ENTRIES = 1_000_000
 _BYTES = 8
 _MIN_SHARED = _BYTES - MAX_BITS
 _AT_ONCE = 1 << 16
@@ -73,8 +77,9 @@ def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(id, fp long: the fingerprint's bits) for each row."""
+    ship(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -142,7 +147,7 @@ def link(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(classes: DataFrame, hot_list: int = HOT_LIST) -> DataFrame:
     """(u, v): links between the distinct fingerprints `fp` that leave their components as all links would."""
-    spark = classes.sparkSession
+    parts = max(parts_for(classes.sparkSession), -(-classes.count() * len(POSITIONS) // PART_ENTRIES))
 
     def byte(p: int):
         return F.shiftrightunsigned("fp", 56 - 8 * p).bitwiseAND(F.lit(255))
@@ -158,7 +163,7 @@ def links(classes: DataFrame, hot_list: int = HOT_LIST) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own)),
     ).otherwise(F.array(F.lit(0)))
     dealt = index.join(hot, "key", "left").withColumn("blocks", blocks).select("fp", "key", F.explode(cells).alias("cell"))
-    dealt = dealt.select("fp", F.xxhash64("key", "cell").alias("cell_key")).repartition(parts_for(spark), "cell_key")
+    dealt = dealt.select("fp", F.xxhash64("key", "cell").alias("cell_key")).repartition(parts, "cell_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(1).to_numpy(), b.column(0).to_numpy()) for b in batches]
@@ -183,9 +188,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component holds a smaller id; of rows that repeat an id all stay or go. Rows with null id stay."""
-    found = near_copies(docs.select(id_col, text_col), id_col, text_col)
-    gone = found.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return without_copies(docs, near_copies(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text"), id_col)
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is greater than its component's; found: (id, component_id)."""
+    (gone,) = aside(docs, "gone")
+    rows = found.filter(F.col("id") > F.col("component_id")).select(F.col("id").alias(gone)).distinct()
+    return docs.join(rows, docs[f"`{id_col}`"] == rows[gone], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,6 @@ def test_stitching_of_any_text():
 
 def test_packing_is_a_partition_of_the_ids(docs, empty):
     lib = Tokenizer.from_file(WORDS)
-    lib.encode_special_tokens = True
     rows = packing.pack(docs, WORDS).collect()
     want = sorted((i or -1, np.asarray(lib.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t in whole(docs))
     by_doc = {}
@@ -102,6 +101,16 @@ def test_packing_is_a_partition_of_the_ids(docs, empty):
     assert packing.pack(empty, WORDS).collect() == []
 
 
+def test_words_encode_as_the_library_does():
+    lib, own = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
+    r = random.Random(6)
+    texts = ["hello <|endoftext|> there", "<|startoftext|>x", "<|ENDOFTEXT|> <| endoftext |>", "it's I'M he'll 'sx !'s 12½³ naïve—x", "a\xa0b\u3000c İ ß", *(t for t in TEXTS if t)]
+    texts += ["".join(r.choices("ab'smtreLL 12½.,!?-_é\n\t<|>", k=r.randint(1, 60))) for _ in range(2000)]
+    want = [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode_all(pa.array(texts)) == want and [own.encode(t) for t in texts[:50]] == want[:50]
+    assert lib.encode(texts[0], add_special_tokens=False).ids[1] == 49407
+
+
 def luhn(d):
     return sum((int(c) * 2 - 9 * (int(c) > 4)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
 
@@ -149,6 +158,19 @@ def test_exact_dedup(spark, empty):
     assert exact_dedup.classes(empty).collect() == []
 
 
+def test_exact_dedup_of_heavy_groups_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_HEAVY", 5)
+    monkeypatch.setattr(exact_dedup, "HEAVY_GROUPS", 10)
+    r = random.Random(11)
+    rows = [(i, r.choice(["a", "a ", " a", "b", "c c", f"d{i % 40}", f"e{i}", None])) for i in range(400)]
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, row int, chars int, sha string")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").replace(" ", ""), []).append((-len(t or ""), i))
+    want = sorted((i, min(groups[key])[1], len(groups[key]), min(groups[key])[1] == i, hashlib.sha256(key.encode()).hexdigest()) for key, g in groups.items() for _, i in g)
+    assert sorted(map(tuple, exact_dedup.classes(df).collect())) == want
+
+
 def near_components(rows):
     fps = [(i, simhash.fingerprint(t or "")) for i, t in rows]
     label = list(range(len(fps)))
@@ -219,11 +241,28 @@ def test_topk(spark, scale):
     for q in (k for k in whole_ if k % 100 == 0):
         s = sorted((-sum(a * b for a, b in zip(whole_[q], y)), k) for k, y in whole_.items() if k != q and len(y) == len(whole_[q]))[:10]
         want += [(q, n + 1, k, -x) for n, (x, k) in enumerate(s)]
-    for cells in ((topk.CELL_VECTORS, topk.CELL_QUERIES), (64, 3)):
-        got = topk.search(df.filter("vec_id % 100 = 0"), df, cell_vectors=cells[0], cell_queries=cells[1]).collect()
+    for size, queries in ((topk.BUCKET, topk.CELL_QUERIES), (64, 3)):
+        got = topk.search(df.filter("vec_id % 100 = 0"), df, bucket=size, cell_queries=queries).collect()
         assert sorted(tuple(x) for x in got) == sorted(want)
 
 
+def test_topk_sends_queries_only_where_they_can_matter(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = [r.normal(size=8) * (100 if k % 10 == 0 else 1) for k in range(1000)]
+    df = spark.createDataFrame([(k, [float(x) for x in y]) for k, y in enumerate(v)], "vec_id long, embedding array<double>")
+    met, whole = [], topk.top
+    monkeypatch.setattr(topk, "SEEDS", 50)
+    c = topk._whole(df, "vec_id", "embedding")
+    q = topk._seeded(c, c.orderBy(topk.F.desc("norm")).limit(50).collect(), 10).collect()
+    ints = np.array([np.floor(1024 * x) for x in v])
+    longest_of_short = max(np.sqrt((ints[k] ** 2).sum()) for k in range(1000) if k % 10)
+    for x in q[:100]:
+        scores = np.sort(np.delete(ints @ np.array(x.vec), x.id))[::-1]
+        assert x.kth <= scores[9]
+        met.append(x.kth > x.norm * longest_of_short)
+    assert np.mean(met) > 0.9 and whole is topk.top
+
+
 def test_language_held_out(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
