@@ -18,7 +18,6 @@ are packed as often as they occur; null ids are kept; other columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +43,24 @@ STEP_SEQUENCES = 8
 SLICE_CHARS = 4_000_000
 #: Words and parts of words that a worker remembers.
 CACHE_WORDS = 1_000_000
-PARTS_AT_ONCE = 1_000
+
+#: Bytes of a text that make it one for the library: 1 surely, 2 with what follows.
+_BYTES = np.zeros(256, np.uint8)
+_BYTES[0x1C:0x20] = 1
+_BYTES[0xCA:] = 1
+_BYTES[[0xC2, 0xC4, 0xC9, 0xE2]] = 2
+#: How the byte-level step writes bytes: printable ones as themselves, the others from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_WRITTEN = {b: chr(b) for b in _PLAIN} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """The strings of an array that has no nulls, cut out of one."""
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    whole = bytes(memoryview(words.buffers()[2] or b"")[ends[0] : ends[-1]]).decode()
+    to = np.cumsum(size, dtype=np.int64)
+    return [whole[a:b] for a, b in zip((to - size).tolist(), to.tolist())]
 
 
 class WordTokenizer:
@@ -52,74 +68,98 @@ class WordTokenizer:
 
     White space ends every token, so words are encoded apart from each other, and each distinct word
     of a slice once; a new word is split as the tokenizer's own pattern splits it, and the ids of its
-    parts are remembered too. That is done for texts in Latin script, which composition leaves alone;
-    any other text, and any that holds a special token's string, goes to the library whole.
+    parts, which the tokenizer's model gives, are remembered too. That is done for texts in Latin
+    script and common punctuation, which composition leaves alone; any other text, and any that holds
+    a special token's string, goes to the library whole.
     """
 
-    # Beyond Latin letters and common punctuation, or treated differently by the functions used here.
-    _beyond = r"[^\x00-\u024f\u2010-\u2027\u20ac]|[\x1c-\x1f\x85\u0130]"
-
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.pre_tokenizer.__getstate__())
         (pattern,) = (x["pattern"]["Regex"] for x in spec["pretokenizers"] if x["type"] == "Split")
         self.split = regex.compile(pattern).findall
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([self._beyond, *special]))
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """The ids of words. Parts not seen before are encoded as one text and told apart by their places in it."""
-        split = [self.split(w) for w in words]
+    def _part(self, part: str) -> bytes:
+        written = part if part.isascii() else part.encode().decode("latin-1").translate(_WRITTEN)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(written)])
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words."""
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
-        known = self.parts
-        new = list({p for ps in split for p in ps if p not in known})
-        for at in range(0, len(new), PARTS_AT_ONCE):
-            some = new[at : at + PARTS_AT_ONCE]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4")
-            begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
-            part_begins = np.cumsum([0, *(len(p) + 1 for p in some)])
-            cuts = np.searchsorted(begins, part_begins)
-            known.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()))
-        get = known.__getitem__
-        self.words.update((w, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for w, ps in zip(words, split))
+        known, made, split = self.parts, self._part, self.split
+
+        def of(part: str) -> bytes:
+            if (x := known.get(part)) is None:
+                x = known[part] = made(part)
+            return x
+
+        out = []
+        for w in words:
+            w = w.lower()
+            # A word of letters, maybe with one mark after it, is what most are.
+            if w.isalpha():
+                out.append(of(w))
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                out.append(of(w[:-1]) + of(w[-1]))
+            else:
+                out.append(b"".join(map(of, split(w))))
+        return out
 
     def _alone(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Indices of the texts for the library."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        at = np.flatnonzero(_BYTES[data[ends[0] :]]) + ends[0]
+        kind, one, two = data[at], data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+        fine = (kind == 0xC2) & (one != 0x85) & (one != 0xA0) | (kind == 0xC4) & (one != 0xB0) | (kind == 0xC9) & (one < 0x90)
+        fine |= (kind == 0xE2) & ((one == 0x80) & (two >= 0x90) & (two <= 0xA7) | (one == 0x82) & (two == 0xAC))
+        found = [np.searchsorted(ends, at[~fine], "right") - 1]
+        found += [np.flatnonzero(pc.match_substring(texts, x).to_numpy(zero_copy_only=False)) for x in self.special]
+        return np.unique(np.concatenate(found))
+
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text]))[0]
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
-        plain = texts.to_pylist()
-        odd = [i for i, x in enumerate(plain) if self.whole.search(x)]
-        if odd:
-            easy = [x for x in plain]
-            for i in odd:
-                easy[i] = ""
-            texts = pa.array(easy, pa.string())
-        words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        odd = self.odd(texts)
+        alone = list(zip(odd.tolist(), texts.take(pa.array(odd)).to_pylist()))
+        if alone:
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            texts = pc.if_else(pa.array(mask), "", texts)
+        words = pc.ascii_split_whitespace(texts)
         distinct = words.flatten().dictionary_encode()
-        here = distinct.dictionary.to_pylist()
+        here = _strings(distinct.dictionary)
         if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
-        known = self.words
-        self._learn([w for w in here if w not in known])
-        ids = list(map(known.__getitem__, here))
+        ids = list(map(self.words.get, here))
+        new = [i for i, x in enumerate(ids) if x is None]
+        words_ = [here[i] for i in new]
+        for i, w, x in zip(new, words_, self._learn(words_)):
+            ids[i] = self.words[w] = x
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         start = np.cumsum(size) - size
         code = distinct.indices.to_numpy(zero_copy_only=False)
         per_word = size[code]
         upto = np.concatenate(([0], np.cumsum(per_word)))
-        at = np.repeat(start[code] - upto[:-1], per_word) + np.arange(upto[-1])
+        kind = np.int32 if upto[-1] < 1 << 31 else np.int64
+        at = np.repeat((start[code] - upto[:-1]).astype(kind), per_word)
+        at += np.arange(len(at), dtype=kind)
         flat = np.frombuffer(b"".join(ids), "<u4")[at]
         ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
         out = [flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        for i in odd:
-            out[i] = self._alone(plain[i])
+        for i, text in alone:
+            out[i] = self._alone(text)
         return out
 
 
