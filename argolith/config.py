@@ -109,7 +109,7 @@ def load(path: str, base: Profile = ENGLISH) -> Profile:
         raise ValueError(f"profile {path}: not an object")
     flat: dict = {}
     for k, v in found.items():
-        flat |= v if isinstance(v, dict) and k in {"edu", "pac", "bas", "reasoning", "strength", "semantics"} else {k: v}
+        flat |= v if isinstance(v, dict) and k in {"edu", "pac", "bas", "strength", "semantics"} else {k: v}
     names = {f.name: f for f in fields(Profile)}
     also = {"min_edu_words": "min_words", "fallback_connectives": "connectives", "system_prompt_overhead": "prompt_overhead", "response_headroom_frac": "response_share", "min_argumentative_units": "min_units"}
     known = {also.get(k, k): tuple(v) if isinstance(v, list) else v for k, v in flat.items() if also.get(k, k) in names}

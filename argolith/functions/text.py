@@ -42,14 +42,24 @@ def fallback_segments(c: Column, profile: Profile) -> Column:
 
 
 def term_counts(c: Column) -> Column:
-    """Map from each word to how often it occurs."""
-    t = tokens(c)
-    distinct = F.array_distinct(t)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda w: F.size(F.filter(t, lambda x: x == w))))
+    """Map from each word to how often it occurs: in the sorted words, from its first place to the next word's."""
+
+    def counted(t: Column) -> Column:
+        distinct = F.array_distinct(t)
+        first = F.transform(distinct, lambda w: F.array_position(t, w).cast("int"))
+        after = F.concat(F.slice(first, 2, F.size(first)), F.array(F.size(t) + 1))
+        return F.map_from_arrays(distinct, F.zip_with(first, after, lambda a, b: b - a))
+
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    some = F.element_at(F.transform(F.array(F.array_sort(tokens(c))), counted), 1)
+    return F.when(strip(F.lower(c)) == "", none).otherwise(some)
 
 
 def entropy(c: Column) -> Column:
     """Shannon entropy in bits of the words; 0 for an empty text."""
-    n = F.size(tokens(c)).cast("double")
-    p = F.transform(F.array_sort(F.map_values(term_counts(c))), lambda k: k / n)
-    return F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a - x * F.log2(x)))
+
+    def of(counts: Column) -> Column:
+        n = F.aggregate(counts, F.lit(0), lambda a, k: a + k).cast("double")
+        return F.abs(F.aggregate(counts, F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n)))
+
+    return F.element_at(F.transform(F.array(F.array_sort(F.map_values(term_counts(c)))), of), 1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from argolith.config import Profile
 from argolith.functions.text import term_counts
-from argolith.functions.vectors import dot, norm, sparse_cosine
+from argolith.functions.vectors import dot, norm, sparse_dot
 
 
 
@@ -30,26 +30,30 @@ def lexical(edus: DataFrame, text: str = "text") -> DataFrame:
     return edus.withColumn("vec", term_counts(F.col(text)))
 
 
-def similarity(a: Column, b: Column, dense: bool) -> Column:
-    if not dense:
-        return sparse_cosine(a, b)
-    d = norm(a) * norm(b)
-    return F.when(d > 0, dot(a, b) / d).otherwise(0.0)
+def length(vec: Column, dense: bool) -> Column:
+    return norm(vec) if dense else F.sqrt(F.aggregate(F.map_values(vec), F.lit(0).cast("long"), lambda s, n: s + n.cast("long") * n.cast("long")).cast("double"))
+
+
+def similarity(a: Column, b: Column, dense: bool, len_a: Column | None = None, len_b: Column | None = None) -> Column:
+    """Cosine, 0 where either is empty; lengths may be given, so that they are taken once for each vector."""
+    d = (length(a, dense) if len_a is None else len_a) * (length(b, dense) if len_b is None else len_b)
+    product = dot(a, b) if dense else sparse_dot(a, b).cast("double")
+    return F.when(d > 0, product / d).otherwise(0.0)
 
 
 def candidates(index: DataFrame, dense: bool = False) -> DataFrame:
-    """Scored pairs of index (thread_id, global_idx, post_id, parent_id, local_idx, speaker_id, text, is_central_prop, vec)."""
-    t = index.select("thread_id", F.col("global_idx").alias("target_idx"), F.col("post_id").alias("target_post"), F.col("vec").alias("target_vec"))
-    s = index.filter(~F.col("is_central_prop")).select(
-        "thread_id", F.col("global_idx").alias("source_idx"), F.col("post_id").alias("source_post_id"), F.col("parent_id").alias("source_parent"),
-        F.col("speaker_id").alias("source_speaker_id"), F.col("local_idx").alias("source_local_idx"), F.col("text").alias("source_text"), F.col("vec").alias("source_vec"),
+    """(thread_id, target_idx, source_idx, pac_scope, sim): scored pairs of index (thread_id, global_idx, post_id, parent_id, is_central_prop, vec); texts come after the choice."""
+    x = index.withColumn("len", length(F.col("vec"), dense))
+    t = x.select("thread_id", F.col("global_idx").alias("target_idx"), F.col("post_id").alias("target_post"), F.col("vec").alias("target_vec"), F.col("len").alias("target_len"))
+    s = x.filter(~F.col("is_central_prop")).select(
+        "thread_id", F.col("global_idx").alias("source_idx"), F.col("post_id").alias("source_post"), F.col("parent_id").alias("source_parent"), F.col("vec").alias("source_vec"), F.col("len").alias("source_len"),
     )
-    same = (t["thread_id"] == s["thread_id"]) & (t["target_post"] == s["source_post_id"])
+    same = (t["thread_id"] == s["thread_id"]) & (t["target_post"] == s["source_post"])
     intra = t.join(s, same & (t["target_idx"] != s["source_idx"])).drop(s["thread_id"]).withColumn("pac_scope", F.lit("INTRA"))
-    reply = (t["thread_id"] == s["thread_id"]) & (t["target_post"] == s["source_parent"]) & (s["source_post_id"] != s["source_parent"])
+    reply = (t["thread_id"] == s["thread_id"]) & (t["target_post"] == s["source_parent"]) & (s["source_post"] != s["source_parent"])
     inter = t.join(s, reply & (s["source_idx"] > t["target_idx"])).drop(s["thread_id"]).withColumn("pac_scope", F.lit("INTER"))
-    sim = similarity(F.col("target_vec"), F.col("source_vec"), dense)
-    return intra.unionByName(inter).withColumn("sim", sim).select("thread_id", "target_idx", "source_idx", "pac_scope", "source_post_id", "source_speaker_id", "source_local_idx", "source_text", "sim")
+    sim = similarity(F.col("target_vec"), F.col("source_vec"), dense, F.col("target_len"), F.col("source_len"))
+    return intra.unionByName(inter).select("thread_id", "target_idx", "source_idx", "pac_scope", sim.alias("sim"))
 
 
 def best_similarity(index: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -86,10 +90,14 @@ def top_semantic(pairs: DataFrame, profile: Profile) -> DataFrame:
     return p.withColumn("pac_pos", pos).withColumn("selection_type", F.lit("SEMANTIC")).drop("__k")
 
 
-def select(pairs: DataFrame, profile: Profile) -> DataFrame:
-    """All chosen pairs, in order (pac_pos), similarities rounded."""
-    both = implicit(pairs, profile).unionByName(top_semantic(pairs, profile))
-    return both.withColumn("cosine_sim", F.round("sim", 4)).drop("sim")
+def select(pairs: DataFrame, index: DataFrame, profile: Profile) -> DataFrame:
+    """All chosen pairs, in order (pac_pos), similarities rounded, with what the index says of the source."""
+    both = implicit(pairs, profile).unionByName(top_semantic(pairs, profile)).withColumn("cosine_sim", F.round("sim", 4)).drop("sim")
+    source = index.select(
+        "thread_id", F.col("global_idx").alias("source_idx"), F.col("post_id").alias("source_post_id"), F.col("speaker_id").alias("source_speaker_id"),
+        F.col("local_idx").alias("source_local_idx"), F.col("text").alias("source_text"),
+    )
+    return both.join(source, ["thread_id", "source_idx"])
 
 
 def summary(index: DataFrame, pacs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from argolith.config import Profile
-from argolith.operators.candidates import similarity
+from argolith.operators.candidates import length, similarity
 
 
 def canonical_edges(relations: DataFrame) -> DataFrame:
@@ -81,12 +81,12 @@ def repair(nodes_: DataFrame, comps: DataFrame, dense: bool = False) -> DataFram
 
     nodes_ has a column vec. All lower ranks are connected by then, so one self-join finds every link.
     """
-    x = nodes_.join(comps.select("thread_id", "global_idx", "rank"), ["thread_id", "global_idx"]).select("thread_id", "global_idx", "rank", "vec")
+    x = nodes_.join(comps.select("thread_id", "global_idx", "rank"), ["thread_id", "global_idx"]).select("thread_id", "global_idx", "rank", "vec", length(F.col("vec"), dense).alias("len"))
     several = x.filter("rank > 1").select("thread_id").distinct()
     x = x.join(several, "thread_id", "left_semi")
-    a = x.select("thread_id", F.col("global_idx").alias("a"), F.col("rank").alias("ra"), F.col("vec").alias("va"))
-    b = x.select("thread_id", F.col("global_idx").alias("b"), F.col("rank").alias("rb"), F.col("vec").alias("vb"))
-    p = a.join(b, "thread_id").filter("ra > rb").withColumn("sim", similarity(F.col("va"), F.col("vb"), dense))
+    a = x.select("thread_id", F.col("global_idx").alias("a"), F.col("rank").alias("ra"), F.col("vec").alias("va"), F.col("len").alias("la"))
+    b = x.select("thread_id", F.col("global_idx").alias("b"), F.col("rank").alias("rb"), F.col("vec").alias("vb"), F.col("len").alias("lb"))
+    p = a.join(b, "thread_id").filter("ra > rb").withColumn("sim", similarity(F.col("va"), F.col("vb"), dense, F.col("la"), F.col("lb")))
     best = p.groupBy("thread_id", "ra").agg(F.min(F.struct((-F.col("sim")).alias("less"), "b", "a")).alias("m"))
     src, tgt = F.least("m.a", "m.b"), F.greatest("m.a", "m.b")
     return best.select("thread_id", src.alias("source_idx"), tgt.alias("target_idx"), F.when(F.col("m.less") <= 0, "support").otherwise("attack").alias("relation"), F.lit(True).alias("synthetic"))

@@ -98,7 +98,13 @@ def load_predictions(records: DataFrame, sentinel: str = "__eval__") -> tuple[Da
     return rows.drop(sentinel), records.filter(is_eval)
 
 
+def load_truth(lines: DataFrame, key: str = "is_delta") -> DataFrame:
+    """(thread_id, label) from records (line, thread_id, key): of repeats the last line with a label counts."""
+    x = lines.filter(F.col("thread_id").isNotNull() & (F.col("thread_id") != "") & F.col(key).isNotNull())
+    return x.groupBy("thread_id").agg(F.max_by(F.col(key).cast("boolean"), F.col("line")).alias("label"))
+
+
 def inject(records: DataFrame, truth: DataFrame) -> DataFrame:
-    """Fills labels that are missing from truth (thread_id, label); nulls there do not count, of repeats the largest does."""
-    t = truth.filter("label is not null").groupBy("thread_id").agg(F.max("label").alias("__l"))
+    """Fills labels that are missing from truth (thread_id, label), one row for each thread."""
+    t = truth.filter("label is not null").select("thread_id", F.col("label").alias("__l"))
     return records.join(t, "thread_id", "left").withColumn("ground_truth", F.coalesce("ground_truth", "__l")).drop("__l")

@@ -24,33 +24,14 @@ def batches(index: DataFrame, size: int = 10) -> DataFrame:
     return index.withColumn("batch", F.floor(F.col("global_idx") / size).cast("int")).withColumn("batch_pos", (F.col("global_idx") % size).cast("int"))
 
 
-def prompts(index: DataFrame, pacs: DataFrame, profile: Profile) -> DataFrame:
-    """One prompt for each batch: targets with their context and numbered sources."""
-    sources = pacs.groupBy("thread_id", F.col("target_idx").alias("global_idx")).agg(F.sort_array(F.collect_list(F.struct("pac_pos", "source_text"))).alias("s"))
-    x = batches(context(index, profile.context), profile.batch).join(sources, ["thread_id", "global_idx"], "left")
-    lines = F.coalesce(F.array_join(F.transform("s", lambda v: F.concat(F.lit("  ["), v["pac_pos"].cast("string"), F.lit("] "), v["source_text"])), "\n"), F.lit("  (none)"))
-
-    def or_none(c: str) -> Column:
-        return F.when(F.size(c) > 0, F.array_join(c, " | ")).otherwise("(none)")
-
-    text = F.concat(F.lit("Unit "), F.col("batch_pos").cast("string"), F.lit(": "), F.col("text"), F.lit("\nbefore: "), or_none("before"), F.lit("\nafter: "), or_none("after"), F.lit("\nsources:\n"), lines)
-    g = x.withColumn("p", text).groupBy("thread_id", "batch").agg(F.sort_array(F.collect_list(F.struct("batch_pos", "p"))).alias("ps"))
-    return g.select("thread_id", "batch", F.array_join(F.transform("ps", lambda v: v["p"]), "\n\n").alias("prompt"))
-
-
 def gate(relation: Column, confidence: Column, profile: Profile) -> Column:
     """Labels that are not sure enough become neutral."""
     weak = (relation == "support") & (confidence <= profile.support_gate) | (relation == "attack") & (confidence <= profile.attack_gate)
     return F.when(weak, "neutral").otherwise(relation)
 
 
-def parse(replies: DataFrame, expected: DataFrame, profile: Profile, keys: tuple[str, ...] = ("batch_id", "call_no")) -> DataFrame:
-    """Labels of expected (batch_id, target_idx, source_idx) in replies (*keys, raw).
-
-    A reply is an object with `batch` or a list, maybe fenced or within other text. An unknown label is
-    neutral, a missing confidence 1, one that is no number makes the label neutral; a source the reply leaves out is neutral; of entries for one
-    pair the last counts. A target that it leaves out has no row; nor has a reply that cannot be read.
-    """
+def _entries() -> Column:
+    """The entries of a reply in the column raw; null if it cannot be read."""
     body = strip(F.regexp_replace("raw", r"(?m)^\s*```[a-zA-Z]*\s*$", ""))
 
     def read(c: Column) -> Column:
@@ -59,7 +40,22 @@ def parse(replies: DataFrame, expected: DataFrame, profile: Profile, keys: tuple
         return F.when(ok, F.from_json(as_object, REPLY)["batch"])
 
     block = F.regexp_extract(body, r"(?s)(\{.*\}|\[.*\])", 1)
-    entries = F.coalesce(read(body), F.when(block != "", read(block)))
+    return F.coalesce(read(body), F.when(block != "", read(block)))
+
+
+def readable(replies: DataFrame) -> DataFrame:
+    """Replies that can be read, whatever targets they name."""
+    return replies.filter(_entries().isNotNull())
+
+
+def parse(replies: DataFrame, expected: DataFrame, profile: Profile, keys: tuple[str, ...] = ("batch_id", "call_no")) -> DataFrame:
+    """Labels of expected (batch_id, target_idx, source_idx) in replies (*keys, raw).
+
+    A reply is an object with `batch` or a list, maybe fenced or within other text. An unknown label is
+    neutral, a missing confidence 1, one that is no number makes the label neutral; a source the reply leaves out is neutral; of entries for one
+    pair the last counts. A target that it leaves out has no row; nor has a reply that cannot be read.
+    """
+    entries = _entries()
     t = replies.select(*keys, F.posexplode(entries).alias("pos", "t")).filter("t.target_idx is not null")
     t = t.join(expected.select("batch_id", "target_idx").distinct().withColumnRenamed("target_idx", "want"), "batch_id").filter("t.target_idx = want")
     last = W.partitionBy(*keys, "want").orderBy(F.desc("pos"))

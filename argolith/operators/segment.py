@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from argolith.config import Profile
 from argolith.functions.text import clean_turn, fallback_segments, overlap, strip, word_count
+from argolith.providers import Client
 
 SEGMENTS = "struct<edus: array<string>>"
 
@@ -78,9 +79,20 @@ def filter_short(edus: DataFrame, profile: Profile) -> DataFrame:
     return e.filter((F.col("edu") != "") & ~F.col("edu").rlike(profile.deleted_regex) & (word_count(F.col("edu")) > profile.min_words))
 
 
-def edus(turns: DataFrame, profile: Profile) -> DataFrame:
-    """EDUs with their place in the turn: split, without repeats, without short ones."""
-    e = filter_short(dedup(split_turns(turns, profile)), profile)
+def model_turns(turns: DataFrame, profile: Profile, client: Client, keep=lambda df: df) -> DataFrame:
+    """Raw EDUs of each turn, as a model cuts batches of turns; a batch without a reply that can be read is split by punctuation."""
+    b = keep(batches(turns, profile.batch_chars))
+    asked = prompts(b).withColumns({"call_no": F.lit(1), "system": F.lit("segmentation"), "temperature": F.lit(0.1), "batch_id": F.concat_ws("_", "thread_id", F.col("batch").cast("string"))})
+    replies = keep(client.ask(asked).select("thread_id", "batch", "raw"))
+    cut = prompts(b).join(replies, ["thread_id", "batch"], "left").select("thread_id", "batch", F.posexplode(parse_reply(F.coalesce("raw", F.lit("")), F.col("prompt"), profile)).alias("pos", "edu"))
+    placed = attribute(cut, b).withColumn("pos", F.col("batch") * 1_000_000 + F.col("pos")).drop("post_id", "batch")
+    return placed.join(turns.select("thread_id", "turn_pos", "post_id", "parent_id", "speaker_id"), ["thread_id", "turn_pos"])
+
+
+def edus(turns: DataFrame, profile: Profile, client: Client | None = None, keep=lambda df: df) -> DataFrame:
+    """EDUs with their place in the turn: cut by a model if there is one, else split; without repeats, without short ones."""
+    raw = split_turns(turns, profile) if client is None else model_turns(turns, profile, client, keep)
+    e = filter_short(dedup(raw), profile)
     local = F.row_number().over(W.partitionBy("thread_id", "turn_pos").orderBy("pos")) - 1
     return e.select("thread_id", "turn_pos", "post_id", "parent_id", "speaker_id", local.alias("local_idx"), F.col("edu").alias("text"))
 
@@ -100,6 +112,31 @@ def central_proposition(turns: DataFrame, edus_: DataFrame, threads: DataFrame)
     return threads.select("thread_id").join(best, "thread_id", "left").select("thread_id", F.col("b.text").alias("central_proposition"), F.when(F.col("b").isNotNull(), "overlap").alias("method"))
 
 
+def _chosen(raw: F.Column) -> F.Column:
+    """The number a reply names; null if it names none."""
+    body = strip(F.regexp_replace(raw, "```(?:json)?", ""))
+    json = F.try_parse_json(body)
+    said = F.coalesce(F.try_variant_get(json, "$.central_proposition_idx", "int"), F.expr("cast(null as int)"))
+    text = F.try_variant_get(json, "$.central_proposition_idx", "string")
+    whole = F.when(text.rlike("^-?[0-9]{1,9}$"), F.coalesce(said, text.try_cast("int")))
+    found = F.regexp_extract(body, r'"central_proposition_idx"\s*:\s*(\d{1,9})', 1)
+    return F.when(json.isNotNull(), whole).otherwise(F.when(found != "", found.cast("int")))
+
+
+def model_central(turns: DataFrame, edus_: DataFrame, threads: DataFrame, client: Client, keep=lambda df: df) -> DataFrame:
+    """The EDU of the opening turn that a model names by its number; without a number that fits, the one by overlap."""
+    first = turns.groupBy("thread_id").agg(F.min("turn_pos").alias("turn_pos"))
+    own = edus_.join(first, ["thread_id", "turn_pos"]).groupBy("thread_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("local_idx", "text"))), lambda e: e["text"]).alias("units"))
+    x = keep(own.join(threads.select("thread_id", "title"), "thread_id"))
+    lines = F.array_join(F.transform("units", lambda u, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), u)), "\n")
+    prompt = F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\n\nUnits of the opening post:\n"), lines, F.lit("\n\nWhich number is the central proposition?"))
+    asked = x.select("thread_id", F.concat("thread_id", F.lit("_central")).alias("batch_id"), F.lit(1).alias("call_no"), F.lit("central_proposition").alias("system"), F.lit(0.3).alias("temperature"), prompt.alias("prompt"))
+    said = client.ask(asked).select("thread_id", _chosen(F.col("raw")).alias("n"))
+    named = x.join(said, "thread_id").select("thread_id", F.when(F.col("n").between(0, F.size("units") - 1), F.get("units", F.col("n"))).alias("named"))
+    out = central_proposition(turns, edus_, threads).join(keep(named), "thread_id", "left")
+    return out.select("thread_id", F.coalesce("named", "central_proposition").alias("central_proposition"), F.when(F.col("named").isNotNull(), "model").otherwise(F.col("method")).alias("method"))
+
+
 def index(edus_: DataFrame, central: DataFrame) -> DataFrame:
     """Adds the place in the thread, and whether the text is the central proposition's."""
     w = W.partitionBy("thread_id").orderBy("turn_pos", "local_idx")

@@ -41,8 +41,8 @@ def step(state: DataFrame, edges: DataFrame, profile: Profile, keys: list[str])
     return y.select(*keys, "global_idx", "b", new.alias("s"))
 
 
-def settle(b: np.ndarray, src: np.ndarray, tgt: np.ndarray, attack: np.ndarray, w: np.ndarray, profile: Profile) -> tuple[np.ndarray, int, bool, float, list[np.ndarray]]:
-    """(strengths, rounds, settled, last change, strengths after each round) over a sparse list of edges."""
+def settle(b: np.ndarray, src: np.ndarray, tgt: np.ndarray, attack: np.ndarray, w: np.ndarray, profile: Profile, trajectory: bool = False) -> tuple[np.ndarray, int, bool, float, list[np.ndarray]]:
+    """(strengths, rounds, settled, last change, strengths after each round if they are asked for) over a sparse list of edges."""
     s, n, path = b.copy(), len(b), [b.copy()]
     delta, done, t = float("inf"), False, 0
     kinds = [(src[k], tgt[k], w[k]) for k in (~attack, attack)]
@@ -57,7 +57,8 @@ def settle(b: np.ndarray, src: np.ndarray, tgt: np.ndarray, attack: np.ndarray,
         new = (1 - profile.lam) * s + profile.lam / (1 + np.exp(-u))
         delta = float(np.abs(new - s).max(initial=0.0))
         s, done = new, delta < profile.eps
-        path.append(s)
+        if trajectory:
+            path.append(s)
     return s, t, done, delta, path
 
 
@@ -78,7 +79,7 @@ def propagate(strengths: DataFrame, edges: DataFrame, profile: Profile, trajecto
         known = links["a"].isin(idx) & links["c"].isin(idx)
         links = links[known]
         src, tgt = np.searchsorted(idx, links["a"].to_numpy()), np.searchsorted(idx, links["c"].to_numpy().astype(idx.dtype))
-        s, t, done, delta, path = settle(nodes["x"].to_numpy(), src, tgt, (links["relation"] == "attack").to_numpy(), links["x"].to_numpy(), profile)
+        s, t, done, delta, path = settle(nodes["x"].to_numpy(), src, tgt, (links["relation"] == "attack").to_numpy(), links["x"].to_numpy(), profile, trajectory)
         out = {k: pdf[k].iloc[0] for k in (*ON, "strategy")} | {"global_idx": idx, "initial_strength": nodes["x"].to_numpy(), "acceptability": np.round(s, 6), "iterations": t, "converged": done, "delta_final": delta}
         out["trajectory"] = list(np.round(np.stack(path, 1), 6)) if trajectory else None
         return pd.DataFrame(out)

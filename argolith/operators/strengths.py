@@ -16,6 +16,8 @@ from argolith.functions.text import entropy
 from argolith.functions.vectors import sparse_cosine
 
 ON = ["thread_id", "mode"]
+
+
 def _graph():
     return W.partitionBy(*ON)
 
@@ -53,16 +55,22 @@ def pagerank_of(n: int, src: np.ndarray, tgt: np.ndarray, alpha: float, rounds:
     return None
 
 
+def _ranked(pdf: pd.DataFrame, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(indices, sources, targets, PageRanks) of one graph of links."""
+    idx = np.unique(pdf["a"].to_numpy())
+    e = pdf[pdf["a"] != pdf["b"]]
+    src, tgt = np.searchsorted(idx, e["a"]), np.searchsorted(idx, e["b"])
+    rank = pagerank_of(len(idx), src, tgt, alpha)
+    if rank is None:  # by degrees, then
+        rank = (np.bincount(src, minlength=len(idx)) + np.bincount(tgt, minlength=len(idx))) / max(len(idx) - 1, 1)
+    return idx, src, tgt, rank
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, profile: Profile) -> DataFrame:
     alpha = profile.damping
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        idx = np.unique(pdf["a"].to_numpy())
-        e = pdf[pdf["a"] != pdf["b"]]
-        src, tgt = np.searchsorted(idx, e["a"]), np.searchsorted(idx, e["b"])
-        rank = pagerank_of(len(idx), src, tgt, alpha)
-        if rank is None:  # by degrees, then
-            rank = (np.bincount(src, minlength=len(idx)) + np.bincount(tgt, minlength=len(idx))) / max(len(idx) - 1, 1)
+        idx, _, _, rank = _ranked(pdf, alpha)
         return pd.DataFrame({"thread_id": pdf["thread_id"].iloc[0], "mode": pdf["mode"].iloc[0], "global_idx": idx, "pagerank": rank})
 
     return _links(nodes, edges).groupBy(*ON).applyInPandas(run, "thread_id string, mode string, global_idx int, pagerank double")
@@ -96,14 +104,35 @@ def root_of(nodes: DataFrame) -> DataFrame:
 
 
 def structural(nodes: DataFrame, edges: DataFrame, profile: Profile) -> DataFrame:
-    """s2: PageRanks of a node's ancestors, more for the root's speaker and for near ones; the root gets 1."""
-    pr = pagerank(nodes, edges, profile).withColumnRenamed("global_idx", "ancestor")
-    who = nodes.select(*ON, F.col("global_idx").alias("ancestor"), F.col("speaker_id").alias("speaker"))
-    root = root_of(nodes)
-    x = ancestors(nodes, edges).join(pr, [*ON, "ancestor"]).join(who, [*ON, "ancestor"]).join(root.select(*ON, "root_speaker"), ON)
-    own = F.when(F.col("speaker") == F.col("root_speaker"), 1 + profile.op_bonus).otherwise(1.0)
-    raw = x.withColumn("part", F.col("pagerank") * own * (1 + profile.depth_bonus / F.col("depth"))).groupBy(*ON, "global_idx").agg(F.sum("part").alias("raw"))
-    y = nodes.select(*ON, "global_idx", "is_root").join(raw, [*ON, "global_idx"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    """s2: PageRanks of a node's ancestors, more for the root's speaker and for near ones; the root gets 1.
+
+    Ancestors are walked within a graph and summed up at once; the closure is never a table.
+    """
+    alpha, op_bonus, depth_bonus = profile.damping, profile.op_bonus, profile.depth_bonus
+    who = nodes.join(root_of(nodes).select(*ON, "root_speaker"), ON)
+    own = F.when(F.col("speaker_id") == F.col("root_speaker"), 1 + op_bonus).otherwise(1.0)
+    n = who.select(*ON, F.col("global_idx").alias("a"), F.col("global_idx").alias("b"), own.alias("own"))
+    links = n.unionByName(edges.select(*ON, F.col("source_idx").alias("a"), F.col("target_idx").alias("b"), F.lit(0.0).alias("own")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        idx, src, tgt, rank = _ranked(pdf, alpha)
+        order = pdf[pdf["a"] == pdf["b"]].sort_values("a")
+        weight = rank * order["own"].to_numpy()
+        into: list[list[int]] = [[] for _ in idx]
+        for x, y in zip(src.tolist(), tgt.tolist()):
+            into[y].append(x)
+        raw = np.zeros(len(idx))
+        for x in range(len(idx)):
+            seen, layer, depth = {x}, [x], 0
+            while layer:
+                depth += 1
+                layer = sorted({p for y in layer for p in into[y]} - seen)
+                seen.update(layer)
+                raw[x] += weight[layer].sum() * (1 + depth_bonus / depth)
+        return pd.DataFrame({"thread_id": pdf["thread_id"].iloc[0], "mode": pdf["mode"].iloc[0], "global_idx": idx, "raw": raw})
+
+    raw = links.groupBy(*ON).applyInPandas(run, "thread_id string, mode string, global_idx int, raw double")
+    y = nodes.select(*ON, "global_idx", "is_root").join(raw, [*ON, "global_idx"])
     return y.withColumn("s2", F.round(F.when(F.col("is_root"), 1.0).otherwise(normalise("raw")), 6)).select(*ON, "global_idx", "s2")
 
 

@@ -7,24 +7,29 @@ figures of it stand for strategies' shifts, its label for the truth.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from argolith.config import ENGLISH
 from argolith.functions.text import entropy
-from argolith.operators import candidates, graph, predict, relations, report, segment, semantics, strengths
+from argolith.operators import candidates, graph, predict, reasoning, relations, report, segment, semantics, strengths
+from argolith.plans import records
 from argolith.plans.pipeline import Run
-from argolith.providers import Cue
-from argolith.sources import conversations, jsonl
+from argolith.providers import Cue, Recorded, Scripted
+from argolith.session import shared_folder
+from argolith.sources import conversations, jsonl, pdf, transcripts
 
-#: Word counts are less alike than learned vectors: thresholds are lower than the defaults.
-PROFILE = replace(ENGLISH, threshold=0.20, k=5, implicit_window=4)
+#: Word counts are less alike than learned vectors: the threshold is lower than the default. A prompt holds the least there is, so that threads have several.
+PROFILE = replace(ENGLISH, threshold=0.20, ctx_window=0)
 CUES = ("was", "not", "but", "with")
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4]
-BATCH_CHARS = 1000
+THRESHOLDS_OF_RECORDS = [0.1, 0.3]
+BATCH_CHARS = PROFILE.batch_chars
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -91,6 +96,22 @@ def load_predictions(spark, sf_dir):
     return predict.load_predictions(rows)[0].select("thread_id", "ground_truth")
 
 
+@query
+def count_lines(spark, sf_dir):
+    """Records written as JSON lines, and counted in the files."""
+    path = f"{shared_folder(spark)}/argolith-lines-{uuid.uuid4().hex}"
+    jsonl.write(_records(spark, sf_dir), path)
+    return spark.createDataFrame([(jsonl.count_lines(spark, path),)], "lines long")
+
+
+@query
+def load_ground_truth(spark, sf_dir):
+    """Labels of which every third comes twice, the second time the other way round."""
+    l = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("thread_id"), F.col("doc_id").alias("line"), (F.col("quality") == 1).alias("is_delta"))
+    again = l.filter("line % 3 = 0").select("thread_id", (F.col("line") + 1_000_000_000).alias("line"), (~F.col("is_delta")).alias("is_delta"))
+    return predict.load_truth(l.unionByName(again))
+
+
 @query
 def inject_ground_truth(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("thread_id"), (F.col("quality") == 1).alias("label"))
@@ -98,6 +119,19 @@ def inject_ground_truth(spark, sf_dir):
     return predict.inject(rows, labels).select("thread_id", "ground_truth")
 
 
+@query
+def transcript_turns(spark, sf_dir):
+    """Conversations written as question-time transcripts, read back: the posts of those with a question, a response and a counter-reply."""
+    t = conversations.posts(spark, sf_dir).withColumn("said", F.regexp_replace(F.col("text"), r"\. ", ".\n  "))
+    who = F.element_at(F.array(*map(F.lit, ("ANNA D'ARCO (M5S-X)", "MARIO ROSSI, Ministro dell’interno", "PRESIDENTE", "UGO DE RÉ (PD)"))), (F.when(F.col("turn_pos") == 0, 0).otherwise(F.col("turn_pos") % 4) + 1).cast("int"))
+    g = t.groupBy("thread_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn_pos", F.concat(who, F.lit(". "), F.col("said")).alias("l")))), lambda x: x["l"]).alias("ls"))
+    text = F.concat(F.lit("(Misure  sul\nﬁume – n. 3-"), "thread_id", F.lit(")\n"), F.array_join("ls", "\n"))
+    blank = {c: F.lit(None).cast("string") for c in ("type", "legislature", "branch", "presenter", "date_presented", "seduta", "block")}
+    records = g.select(F.col("thread_id").alias("id"), text.alias("full_interro_text")).withColumns(blank | {"pol_topic": F.lit("topic"), "date_modified": F.lit("2024-01-01")})
+    x = transcripts.convert(records).select("thread_id", "title", "turn_count", "sentence_count", F.explode("conversation").alias("p"))
+    return _long(x.select("thread_id", "title", "turn_count", "sentence_count", "p.post_id", "p.parent_id", "p.speaker_id", "p.role", "p.speaker_name", "p.affiliation", F.md5("p.text").alias("digest")), "turn_count", "sentence_count")
+
+
 # Step 1.
 
 
@@ -186,6 +220,26 @@ def edu_index(spark, sf_dir):
     return _long(made(spark, sf_dir).index.select("thread_id", "global_idx", "turn_pos", "local_idx", "is_central_prop", "text"), "global_idx", "local_idx")
 
 
+def _by_model(spark, sf_dir, reply) -> Run:
+    posts = conversations.posts(spark, sf_dir)
+    return Run(posts, conversations.threads(posts), PROFILE, Cue(CUES, 0.25), Scripted(reply))
+
+
+@query
+def model_edus(spark, sf_dir):
+    """EDUs of a model that cuts at full stops and now and then says nothing that can be read."""
+    reply = lambda: F.when(F.length("prompt") % 3 == 0, "I cannot").otherwise(F.to_json(F.struct(F.split("prompt", r"\. ").alias("edus"))))
+    return _long(_by_model(spark, sf_dir, reply).edus.select("thread_id", "turn_pos", "local_idx", "text"), "local_idx")
+
+
+@query
+def model_central(spark, sf_dir):
+    """Central propositions by the number that a model names, which is too large now and then."""
+    r, number = made(spark, sf_dir), F.col("thread_id").cast("int") % 5
+    said = F.when(number == 3, F.concat(F.lit('```json\n{"central_proposition_idx": "'), number, F.lit('"}\n```'))).otherwise(F.to_json(F.struct((number - F.when(number == 4, 5).otherwise(0)).alias("central_proposition_idx"))))
+    return segment.model_central(r.turns, r.edus, r.threads, Scripted(lambda: said), r.keep)
+
+
 # Step 2.
 
 
@@ -257,7 +311,7 @@ def edu_batches(spark, sf_dir):
 @query
 def prompt_text(spark, sf_dir):
     r = made(spark, sf_dir)
-    return relations.prompts(r.index, r.pacs, PROFILE)
+    return reasoning.prompts(reasoning.items(r.index, r.pacs, PROFILE))
 
 
 def _votes(spark, sf_dir, calls: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -319,6 +373,49 @@ def majority_vote(spark, sf_dir):
     return _long(relations.majority(_votes(spark, sf_dir, 3)[1]), "target_idx", "source_idx")
 
 
+@query
+def tiebreak_prompt(spark, sf_dir):
+    """What is asked about targets on which two calls differ."""
+    r = made(spark, sf_dir)
+    one, two = (_votes(spark, sf_dir)[1].filter(F.col("call_no") == k) for k in (1, 2))
+    targets = relations.disputed(one, two).select("batch_id", F.col("target_idx").alias("global_idx")).distinct()
+    x = reasoning.items(r.index, r.pacs, PROFILE).join(targets, ["batch_id", "global_idx"]).withColumn("why", F.lit(reasoning.WHY["disagreement"]))
+    return reasoning.prompts(x.withColumn("pos", F.row_number().over(W.partitionBy("batch_id").orderBy("pos")) - 1), F.col("why"))
+
+
+def _replies_of_batches(spark, sf_dir) -> DataFrame:
+    """What a model said on each batch: calls that leave targets out, cannot be read or differ; third calls that find attacks everywhere, or nothing."""
+    _, v = _votes(spark, sf_dir)
+    number = F.substring_index("batch_id", "_", -1).cast("int")
+    place = (F.col("target_idx") % 10).cast("int")
+    said = v.filter((F.col("call_no") == 2) | (place % 6 != 5))
+    t = said.groupBy("batch_id", "call_no", place.alias("target_idx")).agg(F.sort_array(F.collect_list(F.struct("source_idx", "relation"))).alias("relations"))
+    b = t.groupBy("batch_id", "call_no").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("target_idx", "relations"))).alias("batch"))).alias("raw"))
+    bad = (number % 5 == 4) | (F.col("call_no") == 1) & (number % 4 == 1) | (F.col("call_no") == 2) & (number % 4 == 2)
+    everywhere = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.struct(p.alias("target_idx"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda s: F.struct(s.alias("source_idx"), F.lit("attack").alias("relation"))).alias("relations")))
+    third = b.select("batch_id").distinct().withColumn("call_no", F.lit(3)).withColumn("raw", F.when(number % 2 == 0, F.to_json(F.struct(everywhere.alias("batch")))))
+    return b.withColumn("raw", F.when(bad, "{bad").otherwise(F.col("raw"))).unionByName(third)
+
+
+@query
+def model_relations(spark, sf_dir):
+    """The whole of a run's labelling by recorded replies: two calls, third calls, halves."""
+    r = made(spark, sf_dir)
+    found, _ = reasoning.label(r.index, r.keep(r.pacs), Recorded(r.keep(_replies_of_batches(spark, sf_dir))), PROFILE, r.keep)
+    return _long(found.select("thread_id", "target_idx", "source_idx", "relation", "method"), "target_idx", "source_idx")
+
+
+@query
+def cp_review_applied(spark, sf_dir):
+    """Neutral central propositions, asked about again: every second thread's first source is found to attack."""
+    r = made(spark, sf_dir)
+    first = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("target_idx"), F.array(F.struct(F.lit(0).alias("source_idx"), F.lit("attack").alias("relation"))).alias("relations"))).alias("batch")))
+    calm = r.keep(r.relations.join(r.index.filter("is_central_prop").select("thread_id", F.col("global_idx").alias("target_idx"), F.lit(True).alias("cp")), ["thread_id", "target_idx"], "left").withColumn("relation", F.when(F.col("cp"), "neutral").otherwise(F.col("relation"))).drop("cp"))
+    even = F.substring_index("batch_id", "_", 1).cast("int") % 2 == 0
+    out = reasoning.review(r.index, calm, Scripted(lambda: F.when(even & (F.col("call_no") < 3), first)), PROFILE, r.keep)
+    return _long(out.select("thread_id", "target_idx", "source_idx", "relation", "cp_review_applied"), "target_idx", "source_idx")
+
+
 @query
 def argumentative_edus(spark, sf_dir):
     return _long(relations.argumentative(made(spark, sf_dir).relations), "target_idx")
@@ -397,7 +494,7 @@ def bas_summary(spark, sf_dir):
 
 @query
 def dot_export(spark, sf_dir):
-    return graph.dot(*made(spark, sf_dir).graph).filter("mode = 'repair'")
+    return graph.dot(*made(spark, sf_dir).graph)
 
 
 # Step 5.
@@ -428,7 +525,7 @@ def strength_ui(spark, sf_dir):
 @query
 def pagerank(spark, sf_dir):
     x = strengths.pagerank(*made(spark, sf_dir).graph, PROFILE)
-    return x.withColumn("pagerank", F.round("pagerank", 6))
+    return _long(x.withColumn("pagerank", F.round("pagerank", 6)), "global_idx")
 
 
 @query
@@ -438,7 +535,7 @@ def ancestor_depths(spark, sf_dir):
 
 @query
 def strength_sei(spark, sf_dir):
-    return strengths.structural(*made(spark, sf_dir).graph, PROFILE)
+    return _long(strengths.structural(*made(spark, sf_dir).graph, PROFILE), "global_idx")
 
 
 @query
@@ -451,30 +548,31 @@ def expansion_node(spark, sf_dir):
 def context_embed(spark, sf_dir):
     r = made(spark, sf_dir)
     x = strengths.contextual(r.nodes_with_vectors, r.graph[1], PROFILE)
-    return x.select("thread_id", "mode", "global_idx", F.size("cvec").alias("terms"))
+    return _long(x.select("thread_id", "mode", "global_idx", F.explode("cvec").alias("term", "w")), "global_idx").withColumn("w", F.round("w", 6))
 
 
 @query
 def strength_csi(spark, sf_dir):
     r = made(spark, sf_dir)
-    return strengths.content(r.nodes_with_vectors, r.graph[1], PROFILE)
+    return _long(strengths.content(r.nodes_with_vectors, r.graph[1], PROFILE), "global_idx")
 
 
 @query
 def strength_hi(spark, sf_dir):
-    return made(spark, sf_dir).strengths.filter("strategy = 's4'")
+    x = made(spark, sf_dir).strengths.filter("strategy = 's4'")
+    return _long(x.select("thread_id", "mode", "global_idx", F.col("initial_strength").alias("s4")), "global_idx")
 
 
 @query
 def root_reversal(spark, sf_dir):
-    return _long(strengths.reverse_root(*made(spark, sf_dir).graph).select("thread_id", "mode", "source_idx", "target_idx", "relation", "synthetic"), "source_idx", "target_idx")
+    return _long(made(spark, sf_dir).final_edges.select("thread_id", "mode", "source_idx", "target_idx", "relation", "synthetic"), "source_idx", "target_idx")
 
 
 # Step 6.
 
 
 def _weighted(r: Run) -> DataFrame:
-    return semantics.weights(strengths.reverse_root(*r.graph), PROFILE)
+    return semantics.weights(r.final_edges, PROFILE)
 
 
 @query
@@ -504,12 +602,12 @@ def gradual_t5(spark, sf_dir):
 
 @query
 def gradual_fixpoint(spark, sf_dir):
-    return made(spark, sf_dir).settled.select("thread_id", "mode", "strategy", "global_idx", "initial_strength", "acceptability")
+    return _long(made(spark, sf_dir).settled.select("thread_id", "mode", "strategy", "global_idx", "initial_strength", "acceptability"), "global_idx")
 
 
 @query
 def semantics_meta(spark, sf_dir):
-    return semantics.meta(made(spark, sf_dir).settled)
+    return _long(semantics.meta(made(spark, sf_dir).settled).withColumn("delta_final", F.round("delta_final", 9)), "iterations")
 
 
 @query
@@ -521,7 +619,7 @@ def root_shift(spark, sf_dir):
 
 
 def _shifts(spark, sf_dir) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars is not null")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
     x = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("m", F.explode(F.array(F.lit(0), F.lit(1))))
     initial = F.round(F.col("doc_id") % 11 / 10.0, 6)
     final = F.round((F.col("n_chars") * F.col("k") + F.col("m") * 31) % 997 / 997.0, 6)
@@ -603,17 +701,50 @@ def mode_comparison(spark, sf_dir):
     return predict.compare(evaluate(spark, sf_dir))
 
 
+@query
+def prediction_records(spark, sf_dir):
+    """Nested predictions as they are written, the sentinel's row left out."""
+    x = records.predictions(_shifts(spark, sf_dir).withColumns({"root_id": F.lit("edu_0"), "root_text": F.lit(None).cast("string")}), _labels(spark, sf_dir), THRESHOLDS_OF_RECORDS).filter(F.col(jsonl.SENTINEL).isNull())
+    t = x.select("thread_id", "mode", "ground_truth", F.explode("thresholds").alias("threshold", "t"))
+    return t.select("thread_id", "mode", "ground_truth", "threshold", F.col("t.ensemble.predicted").alias("ensemble"), F.col("t.ensemble.correct").alias("correct"), F.col("t.predictions")["s2"]["predicted"].alias("s2"), F.col("t.predictions")["s2"]["delta"].alias("s2_delta"))
+
+
+@query
+def metrics_json(spark, sf_dir):
+    """The metrics as written, read back."""
+    x = records.metrics_json(_shifts(spark, sf_dir), _labels(spark, sf_dir), THRESHOLDS)
+    one = "map<string,map<string,struct<n:bigint,accuracy:double,f1:double,auc:double>>>"
+    j = x.select(F.from_json("value", f"repair {one}, no_repair {one}").alias("j"))
+    both = j.select(F.explode(F.create_map(F.lit("repair"), "j.repair", F.lit("no_repair"), "j.no_repair")).alias("mode", "m"))
+    t = both.select("mode", F.explode("m").alias("threshold", "s")).select("mode", F.col("threshold").cast("double").alias("threshold"), F.explode("s").alias("strategy", "v"))
+    return t.select("mode", "threshold", "strategy", "v.n", "v.accuracy", "v.f1", "v.auc")
+
+
+@query
+def step_records(spark, sf_dir):
+    """Records of the third step, taken apart again."""
+    r = made(spark, sf_dir)
+    x = r.keep(records.with_relations(r))
+    n = records.relations_of(x).groupBy("thread_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("relation") == "attack").cast("long")).alias("attacks"), F.sum("pac_pos").alias("places"))
+    u = records.edus_of(x).groupBy("thread_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("text").cast("long")).alias("chars"))
+    zero = F.lit(0).cast("long")
+    y = x.select("thread_id", F.size("conversation").cast("long").alias("turns"), F.col("reasoning_summary.skipped_edus").alias("skipped")).join(n, "thread_id", "left").join(u, "thread_id", "left")
+    return y.select("thread_id", "turns", "skipped", *[F.coalesce(c, zero).alias(c) for c in ("pairs", "attacks", "places", "units", "chars")])
+
+
 # Reports.
 
 
 @query
 def graph_stats(spark, sf_dir):
-    return report.graph_stats(*made(spark, sf_dir).graph)
+    r = made(spark, sf_dir)
+    return report.graph_stats(r.graph[0], r.final_edges)
 
 
 @query
 def key_arguments(spark, sf_dir):
-    return _long(report.key_arguments(*made(spark, sf_dir).graph).select("thread_id", "mode", "relation", "place", "level", "source_idx"), "place", "level", "source_idx")
+    r = made(spark, sf_dir)
+    return _long(report.key_arguments(r.graph[0], r.final_edges).select("thread_id", "mode", "relation", "place", "level", "source_idx"), "place", "level", "source_idx")
 
 
 def _verdicts(r: Run) -> DataFrame:
@@ -623,7 +754,7 @@ def _verdicts(r: Run) -> DataFrame:
 @query
 def failure_reason(spark, sf_dir):
     r = made(spark, sf_dir)
-    return report.failure_reason(report.graph_stats(*r.graph), _verdicts(r))
+    return report.failure_reason(report.graph_stats(r.graph[0], r.final_edges), _verdicts(r))
 
 
 @query
@@ -637,4 +768,12 @@ def report_md(spark, sf_dir):
     r = made(spark, sf_dir)
     votes = predict.vote(predict.predict(r.shifts, [0.1, 0.3, 0.5]))
     first = predict.label(votes.filter("threshold = 0.1"), r.threads).select("thread_id", "mode", "predicted", "ground_truth")
-    return report.pages(*r.graph, r.shifts, votes, first)
+    return report.pages(r.graph[0], r.final_edges, r.shifts, votes, first)
+
+
+@query
+def report_pdf(spark, sf_dir):
+    """The pages as PDF files: how many there are of each mode, and that each begins and ends as one."""
+    x = pdf.rendered(report_md(spark, sf_dir))
+    ok = x.select("mode", (F.substring("pdf", 1, 5).cast("string") == "%PDF-").alias("begins"), F.right(F.regexp_replace(F.decode(F.expr("substring(pdf, -6)"), "US-ASCII"), "\n", ""), F.lit(5)).alias("ends"))
+    return ok.groupBy("mode").agg(F.count(F.lit(1)).alias("files"), F.bool_and("begins").alias("begins"), F.max("ends").alias("ends"))

@@ -42,6 +42,11 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    path, fs = _path(spark, name)
+    return fs.exists(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: what follows has a short plan and survives lost executors. The table goes when the driver ends, if it is not discarded before."""
     spark = df.sparkSession

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from argolith.session import exists
 from argolith.sources import jsonl
 
 
@@ -23,12 +24,9 @@ def run(spark: SparkSession, source: str, sink: str, checkpoint: str, transform:
 
     def batch(df: DataFrame, batch_id: int) -> None:
         fresh = df.dropDuplicates(["thread_id"])
-        try:
+        if exists(spark, f"{sink}/_SUCCESS"):
             done = spark.read.parquet(sink).filter(F.col("batch_id") != batch_id)
             fresh = fresh.join(done.select("thread_id").distinct(), "thread_id", "left_anti")
-        except Exception as e:  # no result yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         # A batch that runs again replaces its own partition.
         out = transform(fresh).withColumn("batch_id", F.lit(batch_id))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink)

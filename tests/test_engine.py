@@ -1,5 +1,6 @@
 """The engine on small cases with known results, and some queries against their SQL."""
 
+import json
 from dataclasses import replace
 
 import duckdb
@@ -11,10 +12,12 @@ from argolith.functions.text import clean_turn, entropy, fallback_segments, stri
 from argolith.operators import candidates, graph, predict, relations, segment
 from argolith.operators.semantics import settle
 from argolith.operators.strengths import pagerank_of
+from argolith.plans import steps
 from argolith.plans.pipeline import Run
-from argolith.providers import Cue, chat
+from argolith.providers import Cue, chat, server
 from argolith.queries import QUERIES, SQL
-from argolith.sources import jsonl, transcripts
+from argolith.session import materialise
+from argolith.sources import jsonl, pdf, transcripts
 from argolith.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -132,11 +135,145 @@ def test_jsonl_and_streaming(spark, tmp_path):
 
 
 def test_transcripts(spark, tmp_path):
-    text = "(Misure – n. 3-00545) PRESIDENTE. Ha facoltà.\nANNA BIANCHI (FDI). Chiedo al Ministro.\nMARIO ROSSI, Ministro dell'interno. Rispondo ora.\nPRESIDENTE. Prego.\nANNA BIANCHI (FDI). Non sono soddisfatta! Grazie."
-    got = transcripts.convert({"full_interro_text": "\n" + text.replace(") PRES", ")\nPRES")}, "x")
-    assert [p["role"] for p in got["conversation"]] == ["question", "response", "counter_reply"]
-    assert got["conversation"][0]["speaker_name"] == "Anna Bianchi" and got["conversation"][0]["affiliation"] == "FDI" and got["conversation"][2]["parent_id"] == "x_1"
-    assert transcripts.convert({"full_interro_text": "nothing"}, "y") is None
+    text = "(Misure sul\n ﬁume – n. 3-00545)\nPRESIDENTE. Ha facoltà.\nANNA D'ARCO (FDI). Chiedo\n  al Ministro.\nMARIO ROSSI, Ministro dell'interno. Rispondo ora. Cafe\u0301.\nPRESIDENTE. Prego.\nUGO RE' (PD). Non sono soddisfatta! Grazie."
+    rows = [{"id": "x", "full_interro_text": text, "date_modified": "2024", "type": "t"}, {"id": "y", "full_interro_text": "nothing"}, {"id": "z"}, {"full_interro_text": text}, {"id": "w", "full_interro_text": text.replace("MARIO ROSSI, Ministro dell'interno", "MARIO ROSSI (M5S)")}]
+    (tmp_path / "acts.json").write_text(json.dumps(rows))
+    (got,) = transcripts.read(spark, str(tmp_path)).collect()
+    posts = got.conversation
+    assert (got.thread_id, got.conv_id, got.title, got.turn_count, got.is_delta) == ("x_1", "x", "Misure sul fiume", 3, None)
+    assert [(p.post_id, p.parent_id, p.speaker_id, p.role, p.timestamp) for p in posts] == [("x_t1", "", "Speaker 1", "question", "2024"), ("x_t2", "x_t1", "Speaker 2", "response", "2024"), ("x_t3", "x_t2", "Speaker 1", "counter-reply", "2024")]
+    assert [(p.speaker_name, p.affiliation) for p in posts] == [("Anna D'Arco", "FDI"), ("Mario Rossi", "Ministro dell'interno"), ("Ugo Re'", "PD")]
+    assert posts[0].text == "[Speaker 1 - Question]: Chiedo al Ministro." and posts[1].text.endswith("Rispondo ora. Café.") and got.sentence_count == 5
+    assert got.metadata["source"] == "acts.json" and got.metadata["language"] == "it" and got.metadata["type"] == "t" and got.metadata["seduta"] is None
+
+
+def test_model_rounds_against_a_loop(spark):
+    """Two calls, third calls and halves, with replies that depend on the batch: the same as asking one batch after the other."""
+    from pyspark.sql import functions as F
+
+    from argolith.operators import reasoning
+    from argolith.providers import ask_all
+
+    def reply(batch_id, call_no, prompt):
+        h = sum(map(ord, batch_id)) + 3 * call_no
+        if h % 7 == 0:
+            return "{bad"
+        targets = []
+        for part in prompt.split("Target [")[1:]:
+            pos = int(part.split("]")[0])
+            lines = part.split("Sources:\n")[1].split("\n\n---")[0].split("\n")
+            sources = [int(x.split("[")[1].split("]")[0]) for x in lines if x.startswith("  [")]
+            if (h + pos) % 4:
+                targets.append({"target_idx": pos, "relations": [{"source_idx": s, "relation": ["support", "attack", "neutral"][(h * (s % 2) + pos + s) % 3]} for s in sources]})
+        return json.dumps({"batch": targets})
+
+    class Loop:
+        def ask(self, prompts):
+            return ask_all(prompts, reply, 2, ("batch_id", "call_no", "prompt")).drop("system", "temperature", "prompt")
+
+    rows = [(f"t{t}", i, i % 3, f"text {i}", [], [], [f"s{k}" for k in range((i * 7 + t) % 4)]) for t in range(12) for i in range(10)]
+    index = spark.createDataFrame([(t, i, "p", "", i, "a", x, False) for t, i, _, x, *_ in rows], "thread_id string, global_idx int, post_id string, parent_id string, local_idx int, speaker_id string, text string, is_central_prop boolean")
+    pacs = spark.createDataFrame([(t, i, k, k, s) for t, i, _, _, _, _, ss in rows for k, s in enumerate(ss)], "thread_id string, target_idx int, source_idx int, pac_pos int, source_text string")
+    found, _ = reasoning.label(index, pacs, Loop(), ENGLISH, materialise)
+    got = {(r.thread_id, r.target_idx, r.source_idx): r.relation for r in found.collect()}
+
+    def parsed(batch_id, call_no, items):
+        text = "".join(f"Target [{p}]\nSources:\n" + "\n".join(f"  [{k}] {s}" for k, s in enumerate(ss)) + "\n\n---" for p, ss in enumerate(items))
+        raw = reply(batch_id, call_no, text)
+        if raw == "{bad":
+            return None
+        by = {e["target_idx"]: [r["relation"] for r in e["relations"]] for e in json.loads(raw)["batch"]}
+        return [by.get(p) for p in range(len(items))]
+
+    def asked(batch_id, items, depth):
+        if not any(items):
+            return [[] for _ in items]
+        a, b = parsed(batch_id, 1, items), parsed(batch_id, 2, items)
+        if a is None and b is None:
+            a = parsed(batch_id, 3, items)
+            out = a
+        elif a is None or b is None:
+            out = a or b
+        else:
+            differ = [(p, s) for p in range(len(items)) if a[p] and b[p] for s in range(len(items[p])) if a[p][s] != b[p][s]]
+            out = a
+            if differ:
+                which = sorted({p for p, _ in differ})
+                c = parsed(batch_id, 3, [items[p] for p in which])
+                out = [list(x) if x is not None else ["neutral"] * len(items[p]) for p, x in enumerate(a)]
+                for p, s in differ:
+                    if c is not None and c[which.index(p)] is not None:
+                        out[p][s] = c[which.index(p)][s]
+        missing = [p for p in range(len(items)) if (out is None or out[p] is None) and items[p]]
+        out = [x if x is not None else ["neutral"] * len(items[p]) for p, x in enumerate(out or [None] * len(items))]
+        if missing and depth < 2 and len(items) > 1:
+            mid = max(1, len(missing) // 2)
+            for half, name in ((missing[:mid], "a"), (missing[mid:], "b")):
+                for p, x in zip(half, asked(batch_id + name, [items[p] for p in half], depth + 1)):
+                    out[p] = x
+        return out
+
+    want = {}
+    for t in range(12):
+        items = [ss for u, *_, ss in rows if u == f"t{t}"]
+        for i, x in enumerate(asked(f"t{t}_0", items, 0)):
+            want |= {(f"t{t}", i, k): r for k, r in enumerate(x)}
+    assert got == want
+
+
+def test_steps_resume(spark, tmp_path):
+    src = tmp_path / "in"
+    jsonl.write(jsonl.sample(spark).filter("thread_id = 's1'"), str(src))
+    quick = replace(ENGLISH, threshold=0.1)
+    assert steps.run(spark, "relations", str(src), str(tmp_path / "out"), quick) == 1
+    jsonl.write(jsonl.sample(spark), str(src))
+    assert steps.run(spark, "relations", str(src), str(tmp_path / "out"), quick) == 1
+    assert steps.run(spark, "relations", str(src), str(tmp_path / "out"), quick) == 0
+    assert sorted(r.thread_id for r in spark.read.json(str(tmp_path / "out")).collect()) == ["s1", "s2"]
+    assert steps.run(spark, "settled", str(src), str(tmp_path / "settled"), quick) == spark.read.json(str(tmp_path / "settled")).count() >= 2
+    from pyspark.sql import functions as F
+
+    records = jsonl.sample(spark).withColumn("is_delta", F.lit(True))
+    r = Run(jsonl.posts(records), jsonl.threads(records), quick, Cue())
+    steps.evaluate(r, [0.1, 0.3], str(tmp_path / "predictions"), str(tmp_path / "metrics"))
+    lines = [json.loads(x.value) for x in spark.read.text(str(tmp_path / "predictions")).collect()]
+    assert sum("__eval__" in x for x in lines) == 1 and {x["thread_id"] for x in lines if "__eval__" not in x} == {"s1", "s2"}
+    (m,) = spark.read.text(str(tmp_path / "metrics")).collect()
+    assert set(json.loads(m.value)) <= {"repair", "no_repair", "comparison"}
+
+
+def test_pdf(spark, tmp_path):
+    text = "A page (with brackets) \\ é\n" + "long " * 100 + "\n" * 70 + "end"
+    doc = pdf.document(text)
+    assert doc.startswith(b"%PDF-1.4") and doc.endswith(b"%%EOF\n") and doc.count(b"/Type /Page ") == 2 and b"\\(with brackets\\)" in doc
+    table = int(doc.rsplit(b"startxref\n", 1)[1].split()[0])
+    assert doc[table:].startswith(b"xref")
+    df = pdf.rendered(spark.createDataFrame([("a", text)], "thread_id string, page string"))
+    assert pdf.save(df, str(tmp_path), "thread_id") == 1 and (tmp_path / "a.pdf").read_bytes() == doc
+
+
+def test_server_speaks_by_profile(spark):
+    sent = []
+
+    def post(body):
+        sent.append(json.loads(body))
+        return '{"message": {"content": "ok"}}'
+
+    quick = replace(ENGLISH, extras={"prompts": {"segmentation": "cut"}, "reasoning": {"system": "judge"}})
+    s = server("u", quick, "m", post=post)
+    assert s.systems == {"segmentation": "cut", "relations": "judge", "tiebreak": "", "cp_review": ""}
+    assert chat("u", "m", s.systems["relations"], {"temperature": 0.1}, post=post, think=False)("p") == "ok"
+    assert sent[0]["messages"][0]["content"] == "judge" and sent[0]["think"] is False
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from argolith.session import shared_folder
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda _: None), master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=sc))
 
 
 def test_chat_tries_again_after_a_timeout():
