@@ -41,8 +41,8 @@ WAITING_TOKENS = 1_000_000
 STEP_SEQUENCES = 8
 #: Characters of a slice of documents, so that each distinct word of many is looked up once.
 SLICE_CHARS = 4_000_000
-#: Words and parts of words that a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words, and parts of words, that a worker remembers; of words, those that a slice holds more than once.
+CACHE_WORDS = 400_000
 
 #: Bytes of a text that make it one for the library: 1 surely, 2 with what follows.
 _BYTES = np.zeros(256, np.uint8)
@@ -144,12 +144,15 @@ class WordTokenizer:
             self.words = {"": b""}
         ids = list(map(self.words.get, here))
         new = [i for i, x in enumerate(ids) if x is None]
+        code = distinct.indices.to_numpy(zero_copy_only=False)
         words_ = [here[i] for i in new]
-        for i, w, x in zip(new, words_, self._learn(words_)):
-            ids[i] = self.words[w] = x
+        often = (np.bincount(code, minlength=len(here))[new] > 1).tolist()
+        for i, w, x, keep in zip(new, words_, self._learn(words_), often):
+            ids[i] = x
+            if keep:
+                self.words[w] = x
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         start = np.cumsum(size) - size
-        code = distinct.indices.to_numpy(zero_copy_only=False)
         per_word = size[code]
         upto = np.concatenate(([0], np.cumsum(per_word)))
         kind = np.int32 if upto[-1] < 1 << 31 else np.int64
