@@ -122,7 +122,7 @@ def inject_ground_truth(spark, sf_dir):
 @query
 def transcript_turns(spark, sf_dir):
     """Conversations written as question-time transcripts, read back: the posts of those with a question, a response and a counter-reply."""
-    t = conversations.posts(spark, sf_dir).withColumn("said", F.regexp_replace(F.col("text"), r"\. ", ".\n  "))
+    t = conversations.posts(spark, sf_dir).withColumn("said", F.regexp_replace(F.lower("text"), r"\. ", ".\n  "))
     who = F.element_at(F.array(*map(F.lit, ("ANNA D'ARCO (M5S-X)", "MARIO ROSSI, Ministro dell’interno", "PRESIDENTE", "UGO DE RÉ (PD)"))), (F.when(F.col("turn_pos") == 0, 0).otherwise(F.col("turn_pos") % 4) + 1).cast("int"))
     g = t.groupBy("thread_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn_pos", F.concat(who, F.lit(". "), F.col("said")).alias("l")))), lambda x: x["l"]).alias("ls"))
     text = F.concat(F.lit("(Misure  sul\nﬁume – n. 3-"), "thread_id", F.lit(")\n"), F.array_join("ls", "\n"))

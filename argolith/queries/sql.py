@@ -231,7 +231,7 @@ CHAIN |= {
           CASE WHEN NOT v1 AND NOT v2 THEN 'third' WHEN NOT v1 OR NOT v2 THEN 'single' WHEN dispute AND r1 IS NULL THEN 'left_out' WHEN dispute AND r1 <> r2 THEN CASE WHEN number % 2 = 0 THEN 'tiebreak' ELSE 'call1' END ELSE 'agreed' END AS m FROM argued""",
     "calm": "SELECT r.* REPLACE (CASE WHEN is_central_prop THEN 'neutral' ELSE relation END AS relation) FROM relations r JOIN idx i ON i.thread_id = r.thread_id AND i.global_idx = r.target_idx",
     "reviewed": "SELECT thread_id, min(global_idx) AS target_idx FROM idx WHERE is_central_prop GROUP BY ALL",
-    "spoken": """SELECT *, CASE WHEN turn_pos = 0 THEN 0 ELSE turn_pos % 4 END AS who, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\. ', '.' || chr(10) || '  ', 'g'), '\\s*\\n\\s*', ' ', 'g'), '\\s{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM posts""",
+    "spoken": """SELECT *, CASE WHEN turn_pos = 0 THEN 0 ELSE turn_pos % 4 END AS who, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\. ', '.' || chr(10) || '  ', 'g'), '\\s*\\n\\s*', ' ', 'g'), '\\s{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM posts""",
     "heard_turns": """SELECT thread_id, min(turn_pos) FILTER (who IN (0, 3)) AS q, min(turn_pos) FILTER (who = 1) AS r FROM spoken WHERE body <> '' GROUP BY ALL""",
     "interro": """SELECT s.thread_id, CASE s.turn_pos WHEN q THEN 1 WHEN r THEN 2 WHEN c THEN 3 END AS k, s.who, s.body FROM spoken s JOIN (SELECT thread_id, q, r, min(turn_pos) AS c FROM spoken JOIN heard_turns USING (thread_id) WHERE who IN (0, 3) AND body <> '' AND turn_pos > greatest(q, r) GROUP BY ALL) USING (thread_id)
         WHERE r IS NOT NULL AND s.turn_pos IN (q, r, c)""",
@@ -310,7 +310,7 @@ CHAIN |= {
           || chr(10) || chr(10) || v.shown || chr(10) || chr(10) || {reason()} || chr(10) AS page
         FROM both_nodes n JOIN stats USING (thread_id, mode)
         LEFT JOIN (SELECT g.thread_id, g.mode, string_agg('- ' || relation || ': ' || text, chr(10) ORDER BY relation, place) AS l FROM arguments g JOIN both_nodes s ON s.thread_id = g.thread_id AND s.mode = g.mode AND s.global_idx = g.source_idx GROUP BY ALL) a USING (thread_id, mode)
-        JOIN (SELECT thread_id, mode, string_agg(printf('| %s | %.4f | %.4f | %.4f |', strategy, initial, final, delta), chr(10) ORDER BY strategy) AS l FROM root_shifts GROUP BY ALL) t USING (thread_id, mode)
+        JOIN (SELECT thread_id, mode, string_agg(printf('| %s | %.6f | %.6f | %.6f |', strategy, initial, final, delta), chr(10) ORDER BY strategy) AS l FROM root_shifts GROUP BY ALL) t USING (thread_id, mode)
         JOIN (SELECT thread_id, mode, bool_or(predicted) FILTER (threshold = 0.1) AS predicted, string_agg(printf('| %.2f | %d of %d | %s |', threshold, votes, total, CASE WHEN predicted THEN 'yes' ELSE 'no' END), chr(10) ORDER BY threshold) AS l,
             max('At 0.30: ' || CASE WHEN predicted THEN 'persuaded' ELSE 'not persuaded' END || '.') FILTER (threshold = 0.3) AS shown FROM root_votes GROUP BY ALL) v USING (thread_id, mode)
         JOIN (SELECT thread_id, is_delta AS ground_truth FROM threads) h USING (thread_id) WHERE n.is_root""",
