@@ -219,11 +219,12 @@ def locate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that are predicted toxic; no shuffle."""
     at = docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots are hard to map
 
     def make():
         return lambda b: b.filter(pa.array([model.score(x or "")[0] < THRESHOLD for x in b.column(at).to_pylist()], pa.bool_()))
 
-    return map_slices(docs, make, docs.schema)
+    return map_slices(plain, make, plain.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
