@@ -104,11 +104,8 @@ def large_enough(nodes_: DataFrame, profile: Profile) -> DataFrame:
     return nodes_.groupBy("thread_id").agg(F.count(F.lit(1)).alias("units")).filter(F.col("units") > profile.min_units)
 
 
-def assemble(index: DataFrame, relations: DataFrame, profile: Profile, dense: bool = False, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of both modes; index has a column vec. keep is applied to what is used several times."""
-    e = keep(canonical_edges(relations))
-    n = keep(nodes(index, e))
-    comps = keep(components(n, e))
+def assemble(index: DataFrame, n: DataFrame, e: DataFrame, comps: DataFrame, profile: Profile, dense: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of both modes, from nodes, canonical edges and components before repair; index has a column vec."""
     with_vec = n.join(index.select("thread_id", "global_idx", "vec"), ["thread_id", "global_idx"])
     root = roots(n)
     full = n.withColumn("mode", F.lit("repair"))

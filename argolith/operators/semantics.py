@@ -69,22 +69,23 @@ def propagate(strengths: DataFrame, edges: DataFrame, profile: Profile, trajecto
     """Final strengths of each strategy; edges (with weights) are those after the root's reversal."""
     if profile.max_iter < 1:
         raise ValueError("max_iter must be at least 1")
+    # A graph's edges come once, whatever the number of strategies.
     n = strengths.select(*ON, "strategy", F.col("global_idx").alias("a"), F.lit(None).cast("int").alias("c"), F.col("initial_strength").alias("x"), F.lit(None).cast("string").alias("relation"))
-    each = strengths.select(*ON, "strategy").distinct()
-    e = edges.join(each, ON).select(*ON, "strategy", F.col("source_idx").alias("a"), F.col("target_idx").alias("c"), F.col("weight").alias("x"), "relation")
+    e = edges.select(*ON, F.lit(None).cast("string").alias("strategy"), F.col("source_idx").alias("a"), F.col("target_idx").alias("c"), F.col("weight").alias("x"), "relation")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, links = pdf[pdf["c"].isna()].sort_values("a"), pdf[pdf["c"].notna()]
-        idx = nodes["a"].to_numpy()
-        known = links["a"].isin(idx) & links["c"].isin(idx)
-        links = links[known]
-        src, tgt = np.searchsorted(idx, links["a"].to_numpy()), np.searchsorted(idx, links["c"].to_numpy().astype(idx.dtype))
-        s, t, done, delta, path = settle(nodes["x"].to_numpy(), src, tgt, (links["relation"] == "attack").to_numpy(), links["x"].to_numpy(), profile, trajectory)
-        out = {k: pdf[k].iloc[0] for k in (*ON, "strategy")} | {"global_idx": idx, "initial_strength": nodes["x"].to_numpy(), "acceptability": np.round(s, 6), "iterations": t, "converged": done, "delta_final": delta}
-        out["trajectory"] = list(np.round(np.stack(path, 1), 6)) if trajectory else None
-        return pd.DataFrame(out)
-
-    return n.unionByName(e).groupBy(*ON, "strategy").applyInPandas(run, _OUT)
+        links, out = pdf[pdf["c"].notna()], []
+        for strategy, nodes in pdf[pdf["c"].isna()].sort_values("a").groupby("strategy"):
+            idx = nodes["a"].to_numpy()
+            own = links[links["a"].isin(idx) & links["c"].isin(idx)]
+            src, tgt = np.searchsorted(idx, own["a"].to_numpy()), np.searchsorted(idx, own["c"].to_numpy().astype(idx.dtype))
+            s, t, done, delta, path = settle(nodes["x"].to_numpy(), src, tgt, (own["relation"] == "attack").to_numpy(), own["x"].to_numpy(), profile, trajectory)
+            x = {k: pdf[k].iloc[0] for k in ON} | {"strategy": strategy, "global_idx": idx, "initial_strength": nodes["x"].to_numpy(), "acceptability": np.round(s, 6), "iterations": t, "converged": done, "delta_final": delta}
+            x["trajectory"] = list(np.round(np.stack(path, 1), 6)) if trajectory else None
+            out.append(pd.DataFrame(x))
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
+
+    return n.unionByName(e).groupBy(*ON).applyInPandas(run, _OUT)
 
 
 def meta(settled: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ class Run:
     @cached_property
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of both modes."""
-        return tuple(map(self.keep, graph.assemble(self.index, self.relations, self.profile, self.encoder.dense, keep=self.keep)))
+        return tuple(map(self.keep, graph.assemble(self.index, *self.canonical, self.profile, self.encoder.dense)))
 
     @cached_property
     def nodes_with_vectors(self) -> DataFrame:
