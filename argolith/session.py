@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
+#: Bytes of a batch that goes to Python, unless the session says otherwise: rows hold whole texts.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for each context."""
+    """Sends this package to the executors, once for each context, and bounds batches where the session doesn't."""
     sc = spark.sparkContext
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     if not getattr(sc, "_argolith_shipped", False):
         path = Path(tempfile.mkdtemp(prefix="argolith-"), "argolith.zip")
         with zipfile.ZipFile(path, "w") as z:
