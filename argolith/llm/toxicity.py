@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, map_slices, table
+from .common import crc32_of_id, discard, map_slices, materialise, table
 
 #: Documents of each label at most in the gradient steps.
 SAMPLE = 4_000
@@ -35,6 +35,8 @@ STEPS, RATE, DECAY = 600, 0.1, 1e-5
 #: How far, in standard deviations, a word's share of toxic documents must lie above that of all.
 APART = 4.0
 THRESHOLD = 0.5
+#: Labels that come to their documents by broadcast (some 20 bytes each); beyond that, documents are shuffled.
+BROADCAST_LABELS = 2_000_000
 
 _ENDS = re.compile(r"[.!?\n]+")
 _KEPT = set(".!?\n")
@@ -130,16 +132,17 @@ def _words_of(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows, n = training_rows(docs, labels, sample)
-    words = _words_of(_labelled(docs, _picked(labels))).cache()
+    picked = _picked(labels)
+    words = materialise(_words_of(_labelled(docs, F.broadcast(picked) if sum(n.values()) <= BROADCAST_LABELS else picked)))
     total = words.filter("word = ''").first()
     if total is None or not 0 < total["pos"] < total["n"]:
-        words.unpersist()
+        discard(words)
         return NO_MODEL
     rate = total["pos"] / total["n"]
     z: Column = (F.col("pos") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     best = words.filter(f"word <> '' and n >= {LEAST_DOCS}").filter(z > APART).orderBy(z.desc(), "word").limit(WORDS)
     vocab = {r["word"]: i for i, r in enumerate(best.collect())}
-    words.unpersist()
+    discard(words)
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
