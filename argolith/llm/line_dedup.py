@@ -538,7 +538,7 @@ def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
                     cells = np.unique(_cell(e[marked])).astype(np.int32)
                     yield _found(len(cells), x_cell=cells)
 
-    return rows.mapInArrow(emit, "part int, kind int, block binary").repartition(parts, "part").mapInArrow(compare, _FOUND)
+    return rows.mapInArrow(emit, "part int, kind int, block binary").repartitionById(parts, "part").mapInArrow(compare, _FOUND)
 
 
 def _filter(cells: DataFrame):
@@ -715,7 +715,7 @@ def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_wor
             y, x = first_match(e, words, t)
             yield _record(list(_PAIR), [pa.array(e[f][at].astype(np.int64) if f != "sig" else e[f][at].view(np.int64)) for at in (y, x) for f in _Y])
 
-    return rows.mapInArrow(emit, "part int, block binary, words binary").repartition(parts, "part").mapInArrow(compare, ", ".join(f"{c} long" for c in _PAIR))
+    return rows.mapInArrow(emit, "part int, block binary, words binary").repartitionById(parts, "part").mapInArrow(compare, ", ".join(f"{c} long" for c in _PAIR))
 
 
 def _order(docs: DataFrame, id_col: str) -> Column:
