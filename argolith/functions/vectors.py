@@ -1,4 +1,4 @@
-"""Similarities of sparse (map of term to count) and dense (array) vectors."""
+"""Products of sparse (map of term to number) and dense (array) vectors; sums of whole numbers are exact."""
 
 from __future__ import annotations
 
@@ -16,10 +16,9 @@ def norm(a: Column) -> Column:
 
 def sparse_dot(a: Column, b: Column) -> Column:
     common = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    return F.aggregate(common, F.lit(0).cast("long"), lambda s, w: s + a[w].cast("long") * b[w].cast("long"))
+    return F.aggregate(common, F.lit(0.0), lambda s, w: s + a[w].cast("double") * b[w].cast("double"))
 
 
-def sparse_cosine(a: Column, b: Column) -> Column:
-    """0 where either is empty."""
-    d = F.sqrt(sparse_dot(a, a).cast("double")) * F.sqrt(sparse_dot(b, b).cast("double"))
-    return F.when(d > 0, sparse_dot(a, b).cast("double") / d).otherwise(0.0)
+def as_sparse(a: Column) -> Column:
+    """A dense vector as a map from places."""
+    return F.map_from_arrays(F.transform(a, lambda _, i: i.cast("string")), F.transform(a, lambda x: x.cast("double")))

@@ -31,13 +31,13 @@ def lexical(edus: DataFrame, text: str = "text") -> DataFrame:
 
 
 def length(vec: Column, dense: bool) -> Column:
-    return norm(vec) if dense else F.sqrt(F.aggregate(F.map_values(vec), F.lit(0).cast("long"), lambda s, n: s + n.cast("long") * n.cast("long")).cast("double"))
+    return norm(vec) if dense else F.sqrt(F.aggregate(F.map_values(vec), F.lit(0.0), lambda s, n: s + n.cast("double") * n.cast("double")))
 
 
 def similarity(a: Column, b: Column, dense: bool, len_a: Column | None = None, len_b: Column | None = None) -> Column:
     """Cosine, 0 where either is empty; lengths may be given, so that they are taken once for each vector."""
     d = (length(a, dense) if len_a is None else len_a) * (length(b, dense) if len_b is None else len_b)
-    product = dot(a, b) if dense else sparse_dot(a, b).cast("double")
+    product = dot(a, b) if dense else sparse_dot(a, b)
     return F.when(d > 0, product / d).otherwise(0.0)
 
 

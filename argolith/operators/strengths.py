@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from argolith.config import Profile
 from argolith.functions.text import entropy
-from argolith.functions.vectors import sparse_cosine
+from argolith.operators.candidates import length, similarity
 
 ON = ["thread_id", "mode"]
 
@@ -176,12 +176,8 @@ def contextual(nodes: DataFrame, edges: DataFrame, profile: Profile) -> DataFram
     return y.withColumn("cvec", F.when(F.col("ou").isNull(), F.col("u")).otherwise(unit(moved))).drop("u", "ou", "other", "depth")
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    def total(x: Column, y: Column) -> Column:
-        return F.aggregate(F.array_sort(F.array_intersect(F.map_keys(x), F.map_keys(y))), F.lit(0.0), lambda s, w: s + x[w] * y[w])
-
-    d = F.sqrt(total(a, a)) * F.sqrt(total(b, b))
-    return F.when(d > 0, total(a, b) / d).otherwise(0.0)
+def _product(x: Column, y: Column) -> Column:
+    return F.aggregate(F.array_sort(F.array_intersect(F.map_keys(x), F.map_keys(y))), F.lit(0.0), lambda s, w: s + x[w] * y[w])
 
 
 def content(nodes: DataFrame, edges: DataFrame, profile: Profile) -> DataFrame:
@@ -189,11 +185,12 @@ def content(nodes: DataFrame, edges: DataFrame, profile: Profile) -> DataFrame:
     c = contextual(nodes, edges, profile)
     a = c.select(*ON, F.col("global_idx").alias("source_idx"), F.col("cvec").alias("va"))
     b = c.select(*ON, F.col("global_idx").alias("target_idx"), F.col("cvec").alias("vb"))
-    pairs = edges.join(a, [*ON, "source_idx"]).join(b, [*ON, "target_idx"]).withColumn("sim", _cosine(F.col("va"), F.col("vb")))
+    pairs = edges.join(a, [*ON, "source_idx"]).join(b, [*ON, "target_idx"]).withColumn("sim", _product(F.col("va"), F.col("vb")))  # of unit vectors
     g = profile.local_mean
     local = pairs.groupBy(*ON, F.col("source_idx").alias("global_idx")).agg(((1 - g) * F.max("sim") + g * F.avg("sim")).alias("local"))
-    root = nodes.filter("is_root").select(*ON, F.col("vec").alias("root_vec"))
-    x = nodes.join(root, ON).withColumn("topic", sparse_cosine(F.col("vec"), F.col("root_vec"))).join(local, [*ON, "global_idx"], "left")
+    n = nodes.withColumn("len", length(F.col("vec"), False))
+    root = n.filter("is_root").select(*ON, F.col("vec").alias("root_vec"), F.col("len").alias("root_len"))
+    x = n.join(root, ON).withColumn("topic", similarity(F.col("vec"), F.col("root_vec"), False, F.col("len"), F.col("root_len"))).join(local, [*ON, "global_idx"], "left")
     w = profile.local_share
     x = x.withColumn("raw", w * F.coalesce("local", F.lit(0.0)) + (1 - w) * F.col("topic"))
     return x.withColumn("s3", F.round(F.when(F.col("is_root"), 1.0).otherwise(normalise("raw")), 6)).select(*ON, "global_idx", "s3")

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from argolith.config import ENGLISH, Profile
+from argolith.functions.vectors import as_sparse
 from argolith.operators import candidates, graph, predict, reasoning, segment, semantics, strengths
 from argolith.providers import Client, Cue, EncoderProvider, Lexical, RelationProvider
 from argolith.session import materialise, ship
@@ -82,7 +84,8 @@ class Run:
 
     @cached_property
     def nodes_with_vectors(self) -> DataFrame:
-        return self.graph[0].join(self.index.select("thread_id", "global_idx", "vec"), ["thread_id", "global_idx"])
+        vec = as_sparse(F.col("vec")) if self.encoder.dense else F.col("vec")
+        return self.graph[0].join(self.index.select("thread_id", "global_idx", vec.alias("vec")), ["thread_id", "global_idx"])
 
     @cached_property
     def final_edges(self) -> DataFrame:

@@ -14,7 +14,7 @@ from argolith.operators.semantics import settle
 from argolith.operators.strengths import pagerank_of
 from argolith.plans import steps
 from argolith.plans.pipeline import Run
-from argolith.providers import Cue, chat, server
+from argolith.providers import Cue, TableEncoder, chat, server
 from argolith.queries import QUERIES, SQL
 from argolith.session import materialise
 from argolith.sources import jsonl, pdf, transcripts
@@ -296,6 +296,21 @@ def test_pipeline_on_the_sample(spark):
     assert {x.thread_id for x in r.shifts.collect()} == {"s1", "s2"}
 
 
+def test_run_with_dense_vectors(spark):
+    """One-hot vectors of words, scaled, give the strengths that word counts give."""
+    from pyspark.sql import functions as F
+
+    records = jsonl.sample(spark).withColumn("is_delta", F.lit(True))
+    quick = replace(ENGLISH, threshold=0.1)
+    plain = Run(jsonl.posts(records), jsonl.threads(records), quick, Cue())
+    units = plain.index.collect()
+    words = sorted({w for u in units for w in u.vec})
+    vectors = spark.createDataFrame([(u.thread_id, u.global_idx, [float(u.vec.get(w, 0)) for w in words]) for u in units], "thread_id string, global_idx int, vec array<float>")
+    dense = Run(jsonl.posts(records), jsonl.threads(records), quick, Cue(), encoder=TableEncoder(vectors))
+    a, b = ({(r.thread_id, r["mode"], r.global_idx, r.strategy): r.initial_strength for r in x.strengths.collect()} for x in (plain, dense))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=2e-6) for k in a)
+
+
 @pytest.mark.parametrize("name", ["fallback_edus", "pac_topk", "canonical_edges", "evaluate", "turn_batches"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
