@@ -9,7 +9,7 @@ import pytest
 
 from argolith.config import ENGLISH, ITALIAN, load, merge
 from argolith.functions.text import clean_turn, entropy, fallback_segments, strip, tokens
-from argolith.operators import candidates, graph, predict, relations, segment
+from argolith.operators import candidates, graph, predict, relations
 from argolith.operators.semantics import settle
 from argolith.operators.strengths import pagerank_of
 from argolith.plans import steps
