@@ -88,6 +88,11 @@ def propagate(strengths: DataFrame, edges: DataFrame, profile: Profile, trajecto
     return n.unionByName(e).groupBy(*ON).applyInPandas(run, _OUT)
 
 
+def strategies(strengths: DataFrame) -> DataFrame:
+    """The strategies that there are strengths of, with how many graphs have them."""
+    return strengths.select(*ON, "strategy").distinct().groupBy("strategy").agg(F.count(F.lit(1)).alias("graphs"))
+
+
 def meta(settled: DataFrame) -> DataFrame:
     return settled.groupBy(*ON, "strategy").agg(F.max("iterations").alias("iterations"), F.bool_and("converged").alias("converged"), F.max("delta_final").alias("delta_final"))
 

@@ -89,6 +89,15 @@ def round_robin_shard(spark, sf_dir):
     return _long(jsonl.shards(_records(spark, sf_dir), 2, "doc_id").groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids")), "shard")
 
 
+@query
+def index_by_thread(spark, sf_dir):
+    """The last row of each thread, under either of its names, or by itself where both are missing."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    name, at = F.col("conv_id").cast("string"), F.col("conv_id") * 1000 + F.col("turn")
+    rows = t.select(F.when(F.col("conv_id") % 3 != 0, name).alias("thread_id"), F.when(F.col("conv_id") % 5 != 0, name).alias("conv_id"), at.alias("line"), "role")
+    return jsonl.latest_by_thread(rows, "line")
+
+
 @query
 def load_predictions(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -605,6 +614,11 @@ def gradual_fixpoint(spark, sf_dir):
     return _long(made(spark, sf_dir).settled.select("thread_id", "mode", "strategy", "global_idx", "initial_strength", "acceptability"), "global_idx")
 
 
+@query
+def detect_strategies(spark, sf_dir):
+    return semantics.strategies(made(spark, sf_dir).strengths)
+
+
 @query
 def semantics_meta(spark, sf_dir):
     return _long(semantics.meta(made(spark, sf_dir).settled).withColumn("delta_final", F.round("delta_final", 9)), "iterations")

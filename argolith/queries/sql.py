@@ -323,6 +323,8 @@ FINAL: dict[str, str] = {
         WHERE coalesce(thread_id, id) IS NULL OR coalesce(thread_id, id) NOT IN (SELECT item_id::VARCHAR FROM benchmark)""",
     "range_slice": "SELECT row_number() OVER (ORDER BY doc_id) AS line, doc_id::VARCHAR AS thread_id FROM documents QUALIFY line BETWEEN 11 AND 60",
     "round_robin_shard": "SELECT k % 2 AS shard, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) GROUP BY ALL",
+    "index_by_thread": """SELECT thread_id, conv_id, line, role FROM (SELECT CASE WHEN conv_id % 3 <> 0 THEN conv_id::VARCHAR END AS thread_id, CASE WHEN conv_id % 5 <> 0 THEN conv_id::VARCHAR END AS conv_id, conv_id * 1000 + turn AS line, role FROM conversations)
+        QUALIFY row_number() OVER (PARTITION BY coalesce(thread_id, conv_id, 'row_' || line) ORDER BY line DESC) = 1""",
     "load_predictions": "SELECT doc_id::VARCHAR AS thread_id, coalesce(CASE WHEN doc_id % 4 <> 0 THEN quality = 1 END, toxic = 1) AS ground_truth FROM labels WHERE doc_id % 10 <> 9",
     "count_lines": "SELECT count(*) AS lines FROM documents",
     "load_ground_truth": "SELECT doc_id::VARCHAR AS thread_id, (quality = 1) <> (doc_id % 3 = 0) AS label FROM labels WHERE quality IS NOT NULL",
@@ -363,6 +365,7 @@ FINAL: dict[str, str] = {
     "strength_csi": "SELECT thread_id, mode, global_idx, s3 FROM s3s",
     "strength_hi": "SELECT thread_id, mode, global_idx, s4 FROM s4s",
     "gradual_fixpoint": "SELECT thread_id, mode, strategy, global_idx, initial_strength, acceptability FROM ends",
+    "detect_strategies": "SELECT strategy, count(*) AS graphs FROM (SELECT DISTINCT thread_id, mode, strategy FROM starts) GROUP BY ALL",
     "semantics_meta": f"SELECT thread_id, mode, strategy, t AS iterations, delta < {PROFILE.eps} AS converged, round(delta, 9) AS delta_final FROM settled",
     "root_shift": "SELECT * FROM root_shifts",
     "central_prop_overlap": "SELECT thread_id, central_proposition, method FROM central",
