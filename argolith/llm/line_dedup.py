@@ -55,7 +55,7 @@ from .common import aside, materialise, parts_for, sliced_by_size, table
 SIMILARITY = 0.8
 COUNTERS = 1 << 22
 #: Characters of a slice of documents.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: Bytes of words that are hashed all at once.
 LONG_WORD = 64
 #: Lines that share a word and are compared in one task.
@@ -64,8 +64,8 @@ HOT_WORD = 50_000
 ENOUGH, KEEP = 4_096, 2
 #: Bytes of a part that are expected, and after which copies in it are merged.
 PART, COMPACT = 32_000_000, 64_000_000
-#: Bits of the filters for lines and words that are looked for again.
-FILTER_BITS = 1 << 25
+#: Bits of the filters for lines and words that are looked for again: some for each of them, 32 MB at most.
+BITS_EACH, MIN_BITS, MAX_BITS = 16, 1 << 18, 1 << 28
 #: Largest number of words and number of parity bits, by class of length.
 CLASSES = ((64, 64), (160, 128), (352, 256), (768, 512), (1 << 31, 1024))
 #: Lines of so many words at most have their hot words paired.
@@ -281,15 +281,16 @@ def _lines_of(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _cell(place: np.ndarray) -> np.ndarray:
-    """The bit of a filter that a line falls on."""
-    return (_mixed(_mixed(place["doc"].astype(np.int64).view(np.uint64) * _GOLD + place["line"], 0xFF51AFD7ED558CCD), 0xC4CEB9FE1A85EC53) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    """The bit that a line falls on in the largest filter; smaller ones take the lower part of its number."""
+    return (_mixed(_mixed(place["doc"].astype(np.int64).view(np.uint64) * _GOLD + place["line"], 0xFF51AFD7ED558CCD), 0xC4CEB9FE1A85EC53) & np.uint64(MAX_BITS - 1)).astype(np.int64)
 
 
 def _word_cell(word: np.ndarray, part) -> np.ndarray:
-    return (_mixed((word.astype(np.uint64) << np.uint64(32)) + np.asarray(part, np.uint64), 0xFF51AFD7ED558CCD) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (_mixed((word.astype(np.uint64) << np.uint64(32)) + np.asarray(part, np.uint64), 0xFF51AFD7ED558CCD) & np.uint64(MAX_BITS - 1)).astype(np.int64)
 
 
 def _in(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    cell = cell & (8 * len(bits) - 1)
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -541,12 +542,17 @@ def find(rows: DataFrame, levels, parts: int, t: float) -> DataFrame:
     return rows.mapInArrow(emit, "part int, kind int, block binary").repartitionById(parts, "part").mapInArrow(compare, _FOUND)
 
 
+def _size(n: int) -> int:
+    return min(max(MIN_BITS, 1 << (n * BITS_EACH).bit_length()), MAX_BITS)
+
+
 def _filter(cells: DataFrame):
-    """A broadcast filter of the bits in the column cell: FILTER_BITS / 8 bytes."""
+    """A broadcast filter of the bits in the column cell, sized by their number."""
+    size = _size(cells.count())
     # Spark numbers the bits of a bitmap from 1.
-    cells = cells.select((F.col("cell").cast("long") + 1).alias("cell"))
+    cells = cells.select((F.col("cell").cast("long").bitwiseAND(F.lit(size - 1)) + 1).alias("cell"))
     bits = cells.groupBy(F.call_function("bitmap_bucket_number", F.col("cell")).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("cell"))).alias("bits"))
-    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
+    wanted = np.zeros(size // 8, np.uint8)
     for r in bits.collect():
         at = (r["bucket"] - 1) * 4096
         wanted[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)[: len(wanted) - at]
@@ -761,8 +767,8 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Dat
     gone = gone.select(F.col("doc").alias(c_id), F.col("crc").alias(c_text), F.col("gone").alias(c_lines))
     keyed = docs.withColumn(c_id, _order(docs, id_col)).withColumn(c_text, F.xxhash64(F.col(f"`{text_col}`")))
     number, bit = (lambda c, f=f: F.call_function(f, c) for f in ("bitmap_bucket_number", "bitmap_bit_position"))
-    cell = F.pmod(F.xxhash64(F.col(c_id), F.col(c_text)), F.lit(FILTER_BITS)) + 1
-    # Documents that surely lose no line pass by the shuffle; the filter has FILTER_BITS / 8 bytes.
+    cell = F.pmod(F.xxhash64(F.col(c_id), F.col(c_text)), F.lit(_size(gone.count()))) + 1
+    # Documents that surely lose no line pass by the shuffle; the filter has MAX_BITS / 8 bytes at most.
     bits = gone.select(cell.alias("c")).groupBy(number(F.col("c")).alias(c_bucket)).agg(F.call_function("bitmap_construct_agg", bit(F.col("c"))).alias(c_bits))
     probed = keyed.withColumn(c_bucket, number(cell)).join(F.broadcast(bits), c_bucket, "left")
     byte = F.conv(F.hex(F.substring(F.col(c_bits), (bit(cell) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
