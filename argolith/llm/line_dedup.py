@@ -599,7 +599,39 @@ def _verified(pairs: DataFrame, bodies: DataFrame, t: float) -> DataFrame:
 _BODY = np.dtype([("word", "<u4"), ("sig", "<u8"), *_AT.descr, ("open", "<u1"), ("n", "<u4")])
 
 
-def first_match(e: np.ndarray, words: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
+class Gathered:
+    """Lines that come together in a part, and their words. Copies are merged whenever `compact` bytes have come; what they came in is then let go."""
+
+    def __init__(self, compact: int) -> None:
+        self.compact, self.size, self.e, self.words = compact, 0, [], []
+
+    def add(self, e: np.ndarray, words: np.ndarray) -> None:
+        self.e.append(e)
+        self.words.append(words)
+        self.size += e.nbytes + words.nbytes
+        if self.size > self.compact:
+            self.merge()
+
+    def merge(self) -> None:
+        e, words = np.concatenate(self.e), np.concatenate(self.words)
+        self.e, self.words = [], []
+        lead, n = _merged(e), e["n"].astype(np.int64)
+        start, n = (np.cumsum(n) - n)[lead], n[lead]
+        end = np.cumsum(n)
+        out = np.empty(int(n.sum()), np.uint64)
+        for k in range(0, len(lead), _AT_ONCE):
+            some = slice(k, k + _AT_ONCE)
+            first = int(end[k] - n[k])
+            at = np.repeat(start[some] - (end[some] - n[some]), n[some])
+            out[first : first + len(at)] = words[at + np.arange(first, first + len(at))]
+        self.e, self.words, self.size, self.start = [e[lead]], [out], 0, end - n
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        """The words of a line, after a merge."""
+        return self.words[0][self.start[k] : self.start[k] + int(self.e[0]["n"][k])]
+
+
+def first_match(e: np.ndarray, words: list[np.ndarray] | Gathered, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(later, earlier): at each word, for each open line the first line that it matches, as indices into e; words: of each line, its hashes."""
     ys, xs = [], []
     order = np.lexsort((e["line"], e["doc"], e["word"]))
@@ -700,24 +732,14 @@ def find_all(rows: DataFrame, levels, parts: int, t: float, open_lines, open_wor
                     yield _record(["part", "block", "words"], [pa.array([p], pa.int32()), pa.array([packed(e)], pa.binary()), pa.array([bodies.tobytes()], pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, tuple[np.ndarray, list[np.ndarray], int]] = {}
-
-        def merge(part: int) -> None:
-            e, words, _ = got[part]
-            lead = _merged(e)
-            got[part] = e[lead], [words[k] for k in lead.tolist()], 0
-
+        got: dict[int, Gathered] = {}
         for b in batches:
-            for part, block, flat in zip(*(c.to_pylist() for c in b.columns)):
-                e = unpacked(block, _BODY)
-                words = np.split(np.frombuffer(flat, np.uint64), np.cumsum(e["n"].astype(np.int64))[:-1])
-                e_, words_, size = got.get(part, (e[:0], [], 0))
-                got[part] = np.concatenate((e_, e)), words_ + words, size + len(flat)
-                if got[part][2] > compact:
-                    merge(part)
+            for part, block, flat in zip(*b.columns):
+                got.setdefault(part.as_py(), Gathered(compact)).add(unpacked(block.as_py(), _BODY), np.frombuffer(flat.as_py(), np.uint64))
         for part in sorted(got):
-            merge(part)
-            e, words, _ = got.pop(part)
+            words = got.pop(part)
+            words.merge()
+            (e,) = words.e
             y, x = first_match(e, words, t)
             yield _record(list(_PAIR), [pa.array(e[f][at].astype(np.int64) if f != "sig" else e[f][at].view(np.int64)) for at in (y, x) for f in _Y])
 
