@@ -14,8 +14,9 @@ Each candidate is verified on the whole sets, so no other pair is linked.
 Documents with equal sets form one class before anything is compared. Under the keys of
 the first FIRST_WORDS fingerprints each class is compared with the next one only; then,
 under all keys, with all classes of other components. Posting lists of more than HOT_LIST
-classes are dealt over several tasks, each holding two blocks. Null text counts as empty;
-all texts without words are one class.
+classes, as estimated from a sample, are dealt over several tasks, each holding two blocks;
+the estimate changes the dealing, not the pairs that meet. Only sets of candidates are
+shuffled. Null text counts as empty; all texts without words are one class.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, parts_for, ship
+from .common import discard, map_slices, materialise, parts_for, ship
 from .graph import components
 from .simhash import HOT_LIST, PART_ENTRIES, SEED, without_copies
 
@@ -40,6 +41,10 @@ MAX_BITS = 36
 #: Pairs of byte positions, first those within 2 groups of 4, which are all that longer sets take.
 POSITIONS = sorted(((i, j) for j in range(8) for i in range(j)), key=lambda t: (t[1] - t[0]) % 2)
 GROUPED, SHORT = 12, 16
+#: Entries by which a posting list of the greatest length that is not dealt is known, about.
+SAMPLE = 200
+#: Digests of sets that go to all tasks at most.
+BROADCAST = 1_000_000
 #: Hashes whose bits are summed up at once, in bytes; pairs that are compared at once.
 _AT_ONCE, _PAIRS = 255, 1 << 18
 
@@ -96,10 +101,8 @@ def _marked(rows: DataFrame) -> DataFrame:
     return map_slices(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, fp long, n int, words binary")
 
 
-def _index(classes: DataFrame, words: int, hot_list: int) -> DataFrame:
-    """(fp, root, n, a, b, key): an entry for each key of the first fingerprints; a, b: the key's fingerprint and the next one; root: 0 where it is fp, which packs better. Entries that meet are in one partition."""
-    many = classes.count()
-    parts = max(parts_for(classes.sparkSession), -(-many * words * GROUPED // PART_ENTRIES))
+def _entries(classes: DataFrame, words: int) -> DataFrame:
+    """(fp, root, n, a, b, key): an entry for each key of the first fingerprints; a, b: the key's fingerprint and the next one; root: 0 where it is fp, which packs better."""
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -116,10 +119,21 @@ def _index(classes: DataFrame, words: int, hot_list: int) -> DataFrame:
 
         return f
 
-    index = map_slices(classes.select("fp", "root", "n", "words"), make, "fp long, root long, n int, a long, b long, key long")
+    return map_slices(classes.select("fp", "root", "n", "words"), make, "fp long, root long, n int, a long, b long, key long")
+
+
+def _index(classes: DataFrame, words: int, hot_list: int) -> DataFrame:
+    """The entries; those that meet are in one partition."""
+    many = classes.count()
+    parts = max(parts_for(classes.sparkSession), -(-many * words * GROUPED // PART_ENTRIES))
+    index = _entries(classes, words)
     # No key has more entries than there are classes.
     if many > hot_list:
-        hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > hot_list)
+        # Nearly every key has few entries, so to count them all would shuffle as many rows as there are entries.
+        # Digests are spread evenly: one class in so many tells the lengths of long lists.
+        every = max(1, hot_list // SAMPLE)
+        some = _entries(classes.filter(F.pmod("fp", F.lit(every)) == 0), words)
+        hot = some.groupBy("key").agg((F.count(F.lit(1)) * every).alias("many")).filter(F.col("many") > hot_list)
         blocks = F.ceil(F.col("many") / hot_list).cast("int")
         # A long list is cut into blocks; a class goes to the cells of its block with each block, itself included.
         own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -200,7 +214,12 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return f
 
-    return map_slices(rows.select("text"), make, "fp long, s binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    sets = map_slices(rows.select("text"), make, "fp long, s binary")
+    if wanted.count() <= BROADCAST:
+        # Spark alone may shuffle all sets, which are larger than the texts.
+        return sets.join(F.broadcast(wanted), "fp", "left_semi").dropDuplicates(["fp"])
+    # Copies go before the shuffle, whose partitions the join takes as they are.
+    return sets.dropDuplicates(["fp"]).join(wanted, "fp", "left_semi")
 
 
 def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -216,7 +235,9 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
         return f
 
-    return materialise(map_slices(both.select("u", "v", "a", "b"), make, "u long, v long"))
+    links = materialise(map_slices(both.select("u", "v", "a", "b"), make, "u long, v long"))
+    discard(pairs, sets)
+    return links
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
