@@ -24,7 +24,8 @@ from .common import aside, table
 
 #: Code points before a span that are searched for context words.
 CONTEXT_CHARS = 40
-#: Matches that are placed one after the other; the work is in proportion to matches times BLOCK.
+#: Matches that are placed one after the other; the work is in proportion to matches times BLOCK. At least
+#: CONTEXT_CHARS, so that what a block matched and what lies between holds the context of the next one.
 BLOCK = 64
 THRESHOLD = 0.5
 
@@ -110,10 +111,10 @@ def _before(xs: Column, add: Callable[[Column, Column], Column]) -> Column:
 
 def _spans(text: Column, kind: Kind) -> Column:
     # Matches with what lies before each; lengths add up to places. As arrays that grow cost their size at each
-    # step, and substrings their distance from the start, matches are handled in blocks.
-    def placed(block: Column, at: Column) -> Column:
-        tail = text.substr(F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
-        start = F.struct(at.alias("at"), tail.alias("tail"), F.array().cast("array<struct<m:string,start:int,end:int,near:string>>").alias("out"))
+    # step, matches are handled in blocks. A substring of the text would cost its distance from the start, so
+    # the context of a block comes from the block before.
+    def placed(block: Column, before: Column) -> Column:
+        start = F.struct(before["at"].alias("at"), before["tail"].alias("tail"), F.array().cast("array<struct<m:string,start:int,end:int,near:string>>").alias("out"))
 
         def step(a: Column, x: Column) -> Column:
             frm = a["at"] + F.length(x["b"])
@@ -127,10 +128,18 @@ def _spans(text: Column, kind: Kind) -> Column:
     def length(block: Column) -> Column:
         return F.aggregate(block, F.lit(0), lambda a, x: a + F.length(x["b"]) + F.length(x["m"]))
 
+    def tail(block: Column) -> Column:
+        return F.right(F.concat_ws("", F.transform(block, lambda x: F.concat(x["b"], x["m"]))), F.lit(CONTEXT_CHARS))
+
+    def before(blocks: Column) -> Column:
+        tails = F.slice(F.concat(F.array(F.lit("")), F.transform(blocks, tail)), 1, F.size(blocks))
+        starts = _before(F.transform(blocks, length), lambda a, x: a + x)
+        return F.zip_with(starts, tails, lambda at, tail: F.struct(at.alias("at"), tail.alias("tail")))
+
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     between = F.split(text, kind.pattern, -1)
     pairs = _let(found, lambda f: F.zip_with(f, F.slice(between, 1, F.size(f)), lambda m, b: F.struct(m.alias("m"), b.alias("b"))))
-    spans = _let(pairs, lambda p: _let(_blocks(p), lambda bs: F.flatten(F.zip_with(bs, _before(F.transform(bs, length), lambda a, x: a + x), placed))))
+    spans = _let(pairs, lambda p: _let(_blocks(p), lambda bs: F.flatten(F.zip_with(bs, before(bs), placed))))
     if _valid(kind.name, F.lit("")) is not None:
         spans = F.filter(spans, lambda s: F.coalesce(_valid(kind.name, s["m"]), F.lit(False)))
 
