@@ -272,7 +272,8 @@ def dense_cosine_topk(spark, sf_dir):
     """Dense vectors: a label is a post, its vectors the units; the 3 most similar at 0.15 or above."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     idx = e.select(F.lit("t").alias("thread_id"), F.col("vec_id").cast("int").alias("global_idx"), F.col("label").cast("string").alias("post_id"), F.lit("").alias("parent_id"), F.col("vec_id").cast("int").alias("local_idx"), F.lit("").alias("speaker_id"), F.lit("").alias("text"), F.lit(False).alias("is_central_prop"), F.col("embedding").alias("vec"))
-    p = candidates.top_semantic(candidates.candidates(idx, dense=True), replace(PROFILE, threshold=0.15, k=3))
+    profile = replace(PROFILE, threshold=0.15, k=3)
+    p = candidates.top_semantic(candidates.nearest(idx, profile), profile)
     return _long(p.select("target_idx", "source_idx", F.round("sim", 5).alias("sim"), "pac_pos"), "target_idx", "source_idx", "pac_pos")
 
 
