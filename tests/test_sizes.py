@@ -48,3 +48,26 @@ def test_a_transcript_of_many_turns(spark, tmp_path):
     got = {r.conv_id: [p.text[:60] for p in r.conversation] for r in transcripts.convert(records).collect()}
     assert got["x0"] == got["x1"] and len(got["x0"]) == 3 and "turno 3." in got["x0"][2]
     assert monotonic() - began < 40
+
+
+def test_links_of_components_by_terms(spark):
+    from time import monotonic
+
+    from pyspark.sql import functions as F
+
+    from argolith.operators import graph
+
+    r = np.random.default_rng(5)
+    counts = r.integers(0, 3, (80, 6)) * (r.random((80, 6)) < 0.3)
+    rank = [1 + int(x) for x in np.minimum(r.integers(0, 12, 80), 9)]
+    cols = "thread_id string, global_idx int"
+    comps = spark.createDataFrame([(f"t{i % 2}", i, rank[i]) for i in range(80)], f"{cols}, rank int")
+    dense = spark.createDataFrame([(f"t{i % 2}", i, counts[i].tolist()) for i in range(80)], f"{cols}, vec array<int>")
+    sparse = spark.createDataFrame([(f"t{i % 2}", i, {f"w{k}": int(n) for k, n in enumerate(counts[i]) if n}) for i in range(80)], f"{cols}, vec map<string,int>")
+    want, got = (sorted(map(tuple, graph.repair(n, comps, d).collect())) for n, d in ((dense, True), (sparse, False)))
+    assert got == want and len(got) >= 12
+    n = 20_000
+    many = spark.range(n).select(F.lit("t").alias("thread_id"), F.col("id").cast("int").alias("global_idx"), F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.struct(F.concat(k.cast("string"), F.lit("_"), (F.hash("id", k) % 300).cast("string")), F.lit(1)))).alias("vec"))
+    began = monotonic()
+    assert len(graph.repair(many, many.select("thread_id", "global_idx", (F.col("global_idx") + 1).alias("rank"))).collect()) == n - 1
+    assert monotonic() - began < 25
